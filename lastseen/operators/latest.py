@@ -42,17 +42,31 @@ def latest_by(
     return frame.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
-def latest_slots(sightings: DataFrame) -> DataFrame:
-    return latest_by(sightings, SLOT_KEY, TIE_ORDER)
+def ties_through(*used: str) -> tuple[str, ...]:
+    """Tie order up to the last column a view uses; all of it when none is named."""
+    last = max(map(TIE_ORDER.index, used), default=len(TIE_ORDER) - 1)
+    return TIE_ORDER[: last + 1]
 
 
-def latest_services(sightings: DataFrame, last_used: str = TIE_ORDER[-1]) -> DataFrame:
-    """Newest sighting per service and day, pruned after column ``last_used``."""
-    ties = TIE_ORDER[: TIE_ORDER.index(last_used) + 1]
-    if last_used == TIE_ORDER[-1]:
-        return latest_by(sightings.filter(has_identity()), SERVICE_KEY, (*ties, "departure_time"))
-    kept = sightings.filter(has_identity()).select("scrape_timestamp", *SERVICE_KEY, *ties)
-    return latest_by(kept, SERVICE_KEY, ties)
+def latest_slots(sightings: DataFrame, *used: str) -> DataFrame:
+    """Newest sighting per departure slot.
+
+    Naming the ``used`` columns drops the others before the shuffle.
+    """
+    ties = ties_through(*used)
+    kept = sightings.select("scrape_timestamp", *SLOT_KEY, *ties)
+    return latest_by(kept, SLOT_KEY, ties)
+
+
+def latest_services(sightings: DataFrame, *used: str) -> DataFrame:
+    """Newest sighting per service and day, of sightings that name both."""
+    ties = ties_through(*used)
+    # The time of day decides last, so it is needed only next to all the rest.
+    extra = () if used else ("departure_time",)
+    kept = sightings.filter(has_identity()).select(
+        "scrape_timestamp", *SERVICE_KEY, *ties, *extra
+    )
+    return latest_by(kept, SERVICE_KEY, (*ties, *extra))
 
 
 def latest_verdicts(verdicts: DataFrame) -> DataFrame:

@@ -44,16 +44,23 @@ DETAIL_COLUMNS = (
 )
 
 
+# Columns each result reads besides the key, to prune a base made for it alone.
+COUNT_COLUMNS = ("travels_name",)
+SEAT_COLUMNS = ("travels_name", "total_seats", "available_seats")
+PRODUCT_COLUMNS = ("bus_type", "total_seats")
+
+
 def latest_departures(
     sightings: DataFrame,
     spec: FilterSpec,
     as_of: datetime,
     verdicts: DataFrame | None = None,
+    used: tuple[str, ...] = (),
 ) -> DataFrame:
     """Newest sighting of each upcoming departure slot, with operator and band.
 
     All filters but the product filter act on sightings; the product filter
-    judges the newest one.
+    judges the newest one.  ``used`` limits the columns carried along.
     """
     recent = scraped_since(sightings, as_of, FORWARD_SCRAPE_DAYS)
     recent = recent.filter(departs_between(spec.forward_days(as_of)))
@@ -61,8 +68,10 @@ def latest_departures(
         recent,
         [spec.operator_rows(), *spec.place_rows(), *spec.line_rows(), *spec.hour_rows()],
     )
-    latest = latest_slots(recent)
     products = spec.product_rows()
+    if used and products is not None:
+        used = (*used, *PRODUCT_COLUMNS)
+    latest = latest_slots(recent, *used)
     if products is not None:
         latest = latest.filter(products)
     if verdicts is not None:
@@ -203,7 +212,7 @@ def latest_departures_template(
             *([] if products is None else [products]),
         ],
     )
-    latest = latest_slots(days_before_departure(rows, as_of))
+    latest = latest_slots(rows, *SEAT_COLUMNS)
     return latest.withColumns(
         {
             "operator": operator_of(F.col("travels_name"), default=None),

@@ -38,6 +38,15 @@ TOP_RELATIONS = 10
 TOP_MOVERS = 10
 
 
+def compared_weeks(as_of: datetime) -> dict[str, tuple[date, date]]:
+    """First and last day of the two weeks the week-over-week views compare."""
+    today = business_day(as_of)
+    return {
+        "current": (today - timedelta(days=7), today - timedelta(days=1)),
+        "prior": (today - timedelta(days=14), today - timedelta(days=8)),
+    }
+
+
 def past_days(as_of: datetime, days: int) -> tuple[date, date]:
     today = business_day(as_of)
     return today - timedelta(days=days), today - timedelta(days=1)
@@ -77,9 +86,9 @@ def past_services(
     rows = past_sightings(sightings, spec, as_of, days, explicit_range)
     products = spec.product_rows()
     if products is None:
-        latest = latest_services(rows, last_used="travels_name")
+        latest = latest_services(rows, "travels_name")
     else:
-        latest = latest_services(rows, last_used="total_seats").filter(products)
+        latest = latest_services(rows, "travels_name", "bus_type", "total_seats").filter(products)
     return latest.withColumn("operator", operator_of(F.col("travels_name")))
 
 
@@ -170,7 +179,7 @@ def utilization(
     rows = past_sightings(sightings, spec, as_of, days).filter(
         (F.col("total_seats") > 0) & F.col("available_seats").isNotNull()
     )
-    latest = latest_services(rows, last_used="available_seats")
+    latest = latest_services(rows, "travels_name", "total_seats", "available_seats")
     products = spec.product_rows()
     if products is not None:
         latest = latest.filter(products)
@@ -226,7 +235,7 @@ def trend_on_complete_days(
         ],
     )
     return (
-        latest_slots(rows)
+        latest_slots(rows, "travels_name")
         .withColumn("operator", operator_of(F.col("travels_name"), default=None))
         .filter(F.col("operator").isNotNull())
         .groupBy("departure_date", "operator")

@@ -114,13 +114,19 @@ def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_typed_schema(RAW_VERDICTS)).parquet(path)
 
 
-def write_results(frames: dict[str, DataFrame], root: str, mode: str = "overwrite") -> None:
+def write_results(
+    frames: dict[str, DataFrame],
+    root: str,
+    partition_by: dict[str, str] | None = None,
+    mode: str = "overwrite",
+) -> None:
     """Store named result sets as parquet, one folder per name.
 
-    A result with a departure date is partitioned by it.
+    ``partition_by`` names a partition column for results large enough to
+    deserve one, such as detail rows by departure date.
     """
     for name, frame in frames.items():
         writer = frame.write.mode(mode)
-        if "departure_date" in frame.columns:
-            writer = writer.partitionBy("departure_date")
+        if partition_by and name in partition_by:
+            writer = writer.partitionBy(partition_by[name])
         writer.parquet(f"{root.rstrip('/')}/{name}")

@@ -27,8 +27,9 @@ from lastseen.operators.latest import (
 from lastseen.plans import departures as fwd
 from lastseen.plans import history as past
 from lastseen.plans import quality
+from lastseen.sources.archive import typed_inventory as typed
 from lastseen.sources.dimensions import with_line_number, with_region
-from verification.fixtures import AS_OF, inventory, verdicts
+from verification.fixtures import AS_OF, inventory, raw_inventory, verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,7 +58,7 @@ def _count(frame: DataFrame, *columns: str) -> DataFrame:
 
 @query
 def typed_inventory(spark, sf_dir):
-    rows = inventory(spark, sf_dir)
+    rows = typed(raw_inventory(spark, sf_dir))
     return rows.groupBy("departure_date", "total_seats", "available_seats").agg(
         F.count(F.lit(1)).alias("n"), F.sum("available_seats").alias("free")
     )
@@ -141,7 +142,7 @@ def latest_enriched(spark, sf_dir):
 
 @query
 def latest_with_enriched(spark, sf_dir):
-    services = latest_services(inventory(spark, sf_dir), last_used="travels_name")
+    services = latest_services(inventory(spark, sf_dir), "travels_name")
     joined = with_verdict(services, verdicts(spark, sf_dir))
     return joined.select(
         "relation_name", "departure_date", "service_id", "travels_name", "bus_product_type"
@@ -151,8 +152,16 @@ def latest_with_enriched(spark, sf_dir):
 # ---- upcoming departures --------------------------------------------------
 
 
-def _forward(spark, sf_dir, spec=EVERYTHING):
-    return fwd.latest_departures(inventory(spark, sf_dir), spec, AS_OF)
+def _forward(spark, sf_dir, spec=EVERYTHING, used=()):
+    return fwd.latest_departures(inventory(spark, sf_dir), spec, AS_OF, used=used)
+
+
+def _counted(spark, sf_dir, spec=EVERYTHING):
+    return _forward(spark, sf_dir, spec, fwd.COUNT_COLUMNS)
+
+
+def _seated(spark, sf_dir, spec=EVERYTHING):
+    return _forward(spark, sf_dir, spec, fwd.SEAT_COLUMNS)
 
 
 @query
@@ -167,59 +176,63 @@ def departures_detail_capped(spark, sf_dir):
 
 @query
 def departures_row_count(spark, sf_dir):
-    return fwd.row_count(_forward(spark, sf_dir))
+    return fwd.row_count(_counted(spark, sf_dir))
 
 
 @query
 def departures_with_enriched(spark, sf_dir):
     latest = fwd.latest_departures(
-        inventory(spark, sf_dir), EVERYTHING, AS_OF, verdicts(spark, sf_dir)
+        inventory(spark, sf_dir),
+        EVERYTHING,
+        AS_OF,
+        verdicts(spark, sf_dir),
+        used=fwd.COUNT_COLUMNS,
     )
     return _count(latest, "operator", "hour_band", "bus_product_type")
 
 
 @query
 def by_operator_hourband(spark, sf_dir):
-    return fwd.by_operator_hourband(_forward(spark, sf_dir))
+    return fwd.by_operator_hourband(_seated(spark, sf_dir))
 
 
 @query
 def departures_by_day(spark, sf_dir):
-    return fwd.by_day(_forward(spark, sf_dir))
+    return fwd.by_day(_counted(spark, sf_dir))
 
 
 @query
 def departures_by_day_d0_d4(spark, sf_dir):
-    return fwd.by_day(_forward(spark, sf_dir, FilterSpec(day_range="d0-d4")))
+    return fwd.by_day(_counted(spark, sf_dir, FilterSpec(day_range="d0-d4")))
 
 
 @query
 def departures_by_day_d5_d30(spark, sf_dir):
-    return fwd.by_day(_forward(spark, sf_dir, FilterSpec(day_range="d5-d30")))
+    return fwd.by_day(_counted(spark, sf_dir, FilterSpec(day_range="d5-d30")))
 
 
 @query
 def by_line(spark, sf_dir):
-    lines = fwd.by_line(_forward(spark, sf_dir))
+    lines = fwd.by_line(_counted(spark, sf_dir))
     return lines.withColumn("departure_times", F.array_join("departure_times", "|"))
 
 
 @query
 def filter_operator(spark, sf_dir):
     spec = FilterSpec(operators=("zingbus", "laxmi"))
-    return fwd.by_day(_forward(spark, sf_dir, spec))
+    return fwd.by_day(_counted(spark, sf_dir, spec))
 
 
 @query
 def filter_relation(spark, sf_dir):
     spec = FilterSpec(relation="Mumbai to Goa")
-    return fwd.by_day(_forward(spark, sf_dir, spec))
+    return fwd.by_day(_counted(spark, sf_dir, spec))
 
 
 @query
 def filter_region(spark, sf_dir):
     spec = FilterSpec(region="IN01")
-    return fwd.by_operator_hourband(_forward(spark, sf_dir, spec))
+    return fwd.by_operator_hourband(_seated(spark, sf_dir, spec))
 
 
 @query
@@ -231,18 +244,18 @@ def filter_line_code(spark, sf_dir):
 @query
 def filter_hour_range(spark, sf_dir):
     spec = FilterSpec(hour_from=6, hour_to=15)
-    return fwd.by_operator_hourband(_forward(spark, sf_dir, spec))
+    return fwd.by_operator_hourband(_seated(spark, sf_dir, spec))
 
 
 @query
 def filter_dep_range(spark, sf_dir):
-    return fwd.by_day(_forward(spark, sf_dir, FORWARD_RANGE))
+    return fwd.by_day(_counted(spark, sf_dir, FORWARD_RANGE))
 
 
 @query
 def filter_product_forward(spark, sf_dir):
     spec = FilterSpec(products=("Seater", "Volvo"))
-    return fwd.by_operator_hourband(_forward(spark, sf_dir, spec))
+    return fwd.by_operator_hourband(_seated(spark, sf_dir, spec))
 
 
 def _forward_template(spark, sf_dir, spec=EVERYTHING):

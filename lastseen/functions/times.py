@@ -11,12 +11,8 @@ from pyspark.sql import functions as F
 # Business time zone, date text of the feed, hour bands, weekdays.
 BUSINESS_ZONE = "Asia/Kolkata"
 FEED_DATE_FORMAT = "d-MMM-yyyy"
-HOUR_BANDS = (
-    (0, 5, "00:00-05:59"),
-    (6, 11, "06:00-11:59"),
-    (12, 17, "12:00-17:59"),
-    (18, 23, "18:00-23:59"),
-)
+HOUR_BANDS = ("00:00-05:59", "06:00-11:59", "12:00-17:59", "18:00-23:59")
+HOURS_PER_BAND = 6
 UNKNOWN_BAND = "unknown"
 WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
@@ -54,18 +50,18 @@ def leading_hour(text: Column) -> Column:
     return F.substring(text, 1, 2).try_cast("bigint")
 
 
-def band(value: Column, bands: tuple[tuple[int, int, str], ...], default: str) -> Column:
-    """Label of the inclusive range holding ``value``."""
-    label = None
-    for low, high, name in bands:
-        hit = value.between(low, high)
-        label = F.when(hit, F.lit(name)) if label is None else label.when(hit, F.lit(name))
-    return label.otherwise(F.lit(default))
+def band(value: Column, width: int, labels: tuple[str, ...], default: str) -> Column:
+    """Label of the equally wide range holding ``value``, counted from 0."""
+    inside = value.between(0, width * len(labels) - 1)
+    position = F.floor(value / F.lit(width)).cast("int") + 1
+    return F.when(inside, F.element_at(F.array(*map(F.lit, labels)), position)).otherwise(
+        F.lit(default)
+    )
 
 
 def hour_band(hour: Column) -> Column:
-    return band(hour, HOUR_BANDS, UNKNOWN_BAND)
+    return band(hour, HOURS_PER_BAND, HOUR_BANDS, UNKNOWN_BAND)
 
 
 def weekday_label(index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(name) for name in WEEKDAYS]), index + 1)
+    return F.element_at(F.array(*map(F.lit, WEEKDAYS)), index + 1)

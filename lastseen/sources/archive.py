@@ -119,14 +119,18 @@ def write_results(
     root: str,
     partition_by: dict[str, str] | None = None,
     mode: str = "overwrite",
+    file_format: str = "parquet",
 ) -> None:
-    """Store named result sets as parquet, one folder per name.
+    """Store named result sets, one folder per name.
 
     ``partition_by`` names a partition column for results large enough to
-    deserve one, such as detail rows by departure date.
+    deserve one, such as detail rows by departure date.  As ``json``, dates
+    become ISO text and nulls stay visible.
     """
     for name, frame in frames.items():
-        writer = frame.write.mode(mode)
+        writer = frame.write.mode(mode).format(file_format)
+        if file_format == "json":
+            writer = writer.option("ignoreNullFields", "false")
         if partition_by and name in partition_by:
             writer = writer.partitionBy(partition_by[name])
-        writer.parquet(f"{root.rstrip('/')}/{name}")
+        writer.save(f"{root.rstrip('/')}/{name}")

@@ -100,6 +100,31 @@ def test_results_are_written_by_name(spark, tmp_path, stored):
     assert list((tmp_path / "rows").glob("departure_date=*"))
 
 
+def test_json_results_show_iso_dates_and_nulls(spark, tmp_path):
+    rows = spark.createDataFrame([(date(2026, 6, 1), None)], "date date, pct_delta double")
+    write_results({"delta": rows}, str(tmp_path), file_format="json")
+    text = spark.read.text(f"{tmp_path}/delta").first()[0]
+    assert text == '{"date":"2026-06-01","pct_delta":null}'
+
+
+def test_a_dominant_scrape_day_is_split_over_files(spark, tmp_path, stored):
+    """Most sightings on one day still end up in evenly sized files."""
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(setting)
+    hot = stored.drop("scrape_date").withColumn(
+        "scrape_timestamp",
+        F.when(F.col("service_id") > "svc-3", F.lit(AS_OF)).otherwise(F.col("scrape_timestamp")),
+    )
+    spark.conf.set(setting, "32k")
+    try:
+        write_inventory(hot, str(tmp_path / "hot"))
+    finally:
+        spark.conf.set(setting, before)
+    files = list((tmp_path / "hot" / "scrape_date=2026-06-01").glob("*.parquet"))
+    assert len(files) > 1
+    assert read_inventory(spark, str(tmp_path / "hot")).count() == stored.count()
+
+
 def test_library_refuses_other_session_zones(spark):
     zone = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")

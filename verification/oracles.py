@@ -69,7 +69,10 @@ LEADING_HOUR = "TRY_CAST(substr(departure_time, 1, 2) AS BIGINT)"
 
 
 def band(hour: str) -> str:
-    ranges = (f"WHEN {hour} BETWEEN {low} AND {high} THEN '{name}'" for low, high, name in HOUR_BANDS)
+    ranges = (
+        f"WHEN {hour} BETWEEN {6 * n} AND {6 * n + 5} THEN '{name}'"
+        for n, name in enumerate(HOUR_BANDS)
+    )
     return f"CASE {' '.join(ranges)} ELSE 'unknown' END"
 
 
@@ -184,6 +187,10 @@ DAILY = """daily AS (SELECT departure_date, operator, count(DISTINCT service_id)
 PER_RELATION = """per_relation AS (
   SELECT relation_name, operator, count(DISTINCT service_id) AS departure_count
   FROM svc WHERE operator <> 'other' GROUP BY relation_name, operator)"""
+TOP = """SELECT relation, total, operator, departure_count
+FROM (SELECT relation_name AS relation, CAST(sum(departure_count) AS BIGINT) AS total
+  FROM per_relation GROUP BY relation_name ORDER BY total DESC, relation LIMIT 10) AS top
+JOIN per_relation ON per_relation.relation_name = top.relation"""
 RELATION_DAILY = """relation_daily AS (
   SELECT relation_name AS relation, departure_date, count(DISTINCT service_id) AS n
   FROM svc GROUP BY relation_name, departure_date)"""
@@ -201,6 +208,14 @@ def weeks(key: str, source: str, measure: str) -> str:
     FROM {source} GROUP BY {key}))"""
 
 
+VALID_SEATS = "total_seats IS NOT NULL AND total_seats > 0 AND available_seats IS NOT NULL"
+UTILIZATION = """SELECT departure_date,
+  CASE WHEN contains(lower(travels_name), 'flix') THEN 'flix' ELSE 'comp' END AS operator_group,
+  CAST(sum(total_seats) AS BIGINT) AS total_seats,
+  CAST(sum(available_seats) AS BIGINT) AS avail_seats,
+  round_even((1.0::DOUBLE - sum(available_seats)::DOUBLE / sum(total_seats)::DOUBLE) * 100, 1)
+    AS util_pct
+FROM svc GROUP BY 1, 2"""
 MOVERS = (past(14), RELATION_DAILY, weeks("relation", "relation_daily", "n"))
 TREND = "SELECT departure_date, operator, departure_count FROM daily"
 
@@ -209,11 +224,23 @@ TREND = "SELECT departure_date, operator, departure_count FROM daily"
 SCRAPE_DAYS = f"""days AS (SELECT {SCRAPE_DAY} AS scrape_date, count(*) AS n FROM inv
   WHERE scrape_timestamp >= {NOW} - INTERVAL '60' DAY GROUP BY ALL)"""
 CLEAN = f"""clean AS (SELECT {SCRAPE_DAY} AS scrape_date, count(*) AS day_n,
-    max(departure_date) - min(departure_date) AS day_span
+    CAST(max(departure_date) - min(departure_date) AS INTEGER) AS day_span
   FROM inv WHERE scrape_timestamp >= {NOW} - INTERVAL '60' DAY
   GROUP BY ALL HAVING count(*) >= 500 AND max(departure_date) - min(departure_date) >= 29)"""
 ON_CLEAN = f"{SCRAPE_DAY} IN (SELECT scrape_date FROM clean)"
 
+
+def clean_trend(where: str = "true") -> str:
+    newest = newest_slot("inv", f"{ON_CLEAN} AND {where}")
+    return sql(
+        f"""SELECT departure_date, operator, count(*) AS departure_count
+FROM (SELECT *, {OPERATOR_OR_NULL} AS operator FROM ({newest}))
+WHERE operator IS NOT NULL AND departure_date BETWEEN {TODAY} - 45 AND {TODAY} - 1
+GROUP BY departure_date, operator""",
+        CLEAN,
+    )
+
+
 ORACLES: dict[str, str] = {
     "typed_inventory": sql(
         """SELECT departure_date, total_seats, available_seats, count(*) AS n,
@@ -252,7 +279,7 @@ LEFT JOIN lines ON substr(service_id, 1, 36) = line_id GROUP BY 1, 2, 3""",
   count(*) AS n FROM inv GROUP BY ALL"""
     ),
     "days_before_departure": sql(
-        f"SELECT departure_date - {TODAY} AS pbd, count(*) AS n FROM inv GROUP BY 1"
+        f"SELECT CAST(departure_date - {TODAY} AS INTEGER) AS pbd, count(*) AS n FROM inv GROUP BY 1"
     ),
     "latest_sighting_4key": sql(
         f"""SELECT * EXCLUDE (rn, scrape_timestamp),
@@ -337,6 +364,12 @@ FROM fwd WHERE operator <> 'other' GROUP BY 1, 2, 3""",
         DAILY,
     ),
     "filter_service": sql(TREND, past(45, "service_id = 'svc-12'"), DAILY),
+    "trend_by_region": sql(
+        TREND,
+        ROUTES,
+        past(45, "lower(relation_name) IN (SELECT route FROM routes WHERE region = 'IN11')"),
+        DAILY,
+    ),
     "share": sql(
         """SELECT departure_date, operator, departure_count AS count,
   round_even(100.0::DOUBLE * departure_count
@@ -346,7 +379,7 @@ FROM daily""",
         DAILY,
     ),
     "dow_profile": sql(
-        """SELECT operator, isodow - 1 AS dow,
+        """SELECT operator, CAST(isodow - 1 AS INTEGER) AS dow,
   CASE isodow WHEN 1 THEN 'Mon' WHEN 2 THEN 'Tue' WHEN 3 THEN 'Wed' WHEN 4 THEN 'Thu'
     WHEN 5 THEN 'Fri' WHEN 6 THEN 'Sat' ELSE 'Sun' END AS dow_label,
   round_even(avg(departure_count), 1) AS avg, count(*) AS n_dates
@@ -355,12 +388,10 @@ FROM (SELECT *, isodow(departure_date) AS isodow FROM daily) GROUP BY operator,
         DAILY,
     ),
     "relation_operator_counts": sql("SELECT * FROM per_relation", past(45), PER_RELATION),
-    "top_relations": sql(
-        """SELECT relation, total, operator, departure_count
-FROM (SELECT relation_name AS relation, CAST(sum(departure_count) AS BIGINT) AS total
-  FROM per_relation GROUP BY relation_name ORDER BY total DESC, relation LIMIT 10) AS top
-JOIN per_relation ON per_relation.relation_name = top.relation""",
-        past(45),
+    "top_relations": sql(TOP, past(45), PER_RELATION),
+    "top_relations_by_product": sql(
+        TOP,
+        past(45, after=f"({PRODUCT_SQL['Seater']} OR {PRODUCT_SQL['Hybrid']})"),
         PER_RELATION,
     ),
     "wow": sql(
@@ -377,22 +408,19 @@ ORDER BY pct_delta DESC, relation LIMIT 10""",
 ORDER BY pct_delta, relation LIMIT 10""",
         *MOVERS,
     ),
-    "utilization": sql(
-        """SELECT departure_date,
-  CASE WHEN lower(travels_name) LIKE '%flix%' THEN 'flix' ELSE 'comp' END AS operator_group,
-  CAST(sum(total_seats) AS BIGINT) AS total_seats,
-  CAST(sum(available_seats) AS BIGINT) AS avail_seats,
-  round_even((1.0::DOUBLE - sum(available_seats)::DOUBLE / sum(total_seats)::DOUBLE) * 100, 1)
-    AS util_pct
-FROM svc GROUP BY 1, 2""",
-        past(45, "total_seats IS NOT NULL AND total_seats > 0 AND available_seats IS NOT NULL"),
+    "wow_by_operator": sql(
+        "SELECT * FROM changes",
+        past(14, f"({NAME_RULES['intrcity']} OR {NAME_RULES['nuego']})"),
+        DAILY,
+        weeks("operator", "daily", "departure_count"),
     ),
-    "trend_clean_days": sql(
-        f"""SELECT departure_date, operator, count(*) AS departure_count
-FROM (SELECT *, {OPERATOR_OR_NULL} AS operator FROM ({newest_slot("inv", ON_CLEAN)}))
-WHERE operator IS NOT NULL AND departure_date BETWEEN {TODAY} - 45 AND {TODAY} - 1
-GROUP BY departure_date, operator""",
-        CLEAN,
+    "utilization": sql(UTILIZATION, past(45, VALID_SEATS)),
+    "utilization_by_product": sql(
+        UTILIZATION, past(45, VALID_SEATS, after=f"({PRODUCT_SQL['Volvo']})")
+    ),
+    "trend_clean_days": clean_trend(),
+    "trend_clean_days_by_product": clean_trend(
+        f"{PRODUCT_SQL['Hybrid']} AND starts_with(lower(relation_name), 'delhi')"
     ),
     "clean_days": sql("SELECT * FROM clean", CLEAN),
     "clean_day_rows": sql(

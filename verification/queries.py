@@ -310,6 +310,11 @@ def filter_service(spark, sf_dir):
     return past.trend(_past(spark, sf_dir, FilterSpec(line_code="svc-12")))
 
 
+@query
+def trend_by_region(spark, sf_dir):
+    return past.trend(_past(spark, sf_dir, FilterSpec(region="IN11")))
+
+
 @query
 def share(spark, sf_dir):
     return past.share(_past(spark, sf_dir))
@@ -330,11 +335,22 @@ def top_relations(spark, sf_dir):
     return past.top_relations(_past(spark, sf_dir))
 
 
+@query
+def top_relations_by_product(spark, sf_dir):
+    return past.top_relations(_past(spark, sf_dir, FilterSpec(products=("Seater", "Hybrid"))))
+
+
 @query
 def wow(spark, sf_dir):
     return past.week_over_week(_compared(spark, sf_dir), AS_OF)
 
 
+@query
+def wow_by_operator(spark, sf_dir):
+    spec = FilterSpec(operators=("intrcity", "nuego"))
+    return past.week_over_week(_compared(spark, sf_dir, spec), AS_OF)
+
+
 @query
 def wow_relation(spark, sf_dir):
     return past.week_over_week_by_relation(_compared(spark, sf_dir), AS_OF)
@@ -356,9 +372,24 @@ def utilization(spark, sf_dir):
 
 
 @query
-def trend_clean_days(spark, sf_dir):
+def utilization_by_product(spark, sf_dir):
+    spec = FilterSpec(products=("Volvo",))
+    return past.utilization(inventory(spark, sf_dir), spec, AS_OF)
+
+
+def _clean_trend(spark, sf_dir, spec=EVERYTHING):
     rows = inventory(spark, sf_dir)
-    return past.trend_on_complete_days(rows, EVERYTHING, AS_OF, FULL_DAY_ROWS, FULL_DAY_SPAN)
+    return past.trend_on_complete_days(rows, spec, AS_OF, FULL_DAY_ROWS, FULL_DAY_SPAN)
+
+
+@query
+def trend_clean_days(spark, sf_dir):
+    return _clean_trend(spark, sf_dir)
+
+
+@query
+def trend_clean_days_by_product(spark, sf_dir):
+    return _clean_trend(spark, sf_dir, FilterSpec(products=("Hybrid",), origin_hub="Delhi"))
 
 
 # ---- archive quality ------------------------------------------------------

@@ -6,6 +6,8 @@ import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import date, datetime, time, timedelta, timezone
+from functools import reduce
+from operator import and_
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
@@ -170,18 +172,16 @@ def scraped_around(
 
 def _scraped(frame: DataFrame, low: datetime, high: datetime | None) -> DataFrame:
     # The day bounds follow from the instants; stating them prunes partitions.
-    partitioned = "scrape_date" in frame.columns
-    frame = frame.filter(F.col("scrape_timestamp") >= F.lit(low))
-    if partitioned:
-        frame = frame.filter(F.col("scrape_date") >= F.lit(business_day(low)))
+    bounds = [F.col("scrape_timestamp") >= F.lit(low)]
     if high is not None:
-        frame = frame.filter(F.col("scrape_timestamp") <= F.lit(high))
-        if partitioned:
-            frame = frame.filter(F.col("scrape_date") <= F.lit(business_day(high)))
-    return frame
+        bounds.append(F.col("scrape_timestamp") <= F.lit(high))
+    if "scrape_date" in frame.columns:
+        bounds.append(F.col("scrape_date") >= F.lit(business_day(low)))
+        if high is not None:
+            bounds.append(F.col("scrape_date") <= F.lit(business_day(high)))
+    return keep(frame, bounds)
 
 
 def keep(frame: DataFrame, predicates: list[Column]) -> DataFrame:
-    for predicate in predicates:
-        frame = frame.filter(predicate)
-    return frame
+    """Rows on which every predicate holds."""
+    return frame.filter(reduce(and_, predicates)) if predicates else frame

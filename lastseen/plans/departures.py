@@ -62,11 +62,15 @@ def latest_departures(
     All filters but the product filter act on sightings; the product filter
     judges the newest one.  ``used`` limits the columns carried along.
     """
-    recent = scraped_since(sightings, as_of, FORWARD_SCRAPE_DAYS)
-    recent = recent.filter(departs_between(spec.forward_days(as_of)))
     recent = keep(
-        recent,
-        [spec.operator_rows(), *spec.place_rows(), *spec.line_rows(), *spec.hour_rows()],
+        scraped_since(sightings, as_of, FORWARD_SCRAPE_DAYS),
+        [
+            departs_between(spec.forward_days(as_of)),
+            spec.operator_rows(),
+            *spec.place_rows(),
+            *spec.line_rows(),
+            *spec.hour_rows(),
+        ],
     )
     products = spec.product_rows()
     if used and products is not None:
@@ -201,11 +205,11 @@ def latest_departures_template(
     """Older forward rules: every scrape counts, the product filter acts before
     the newest sighting is taken, the hour is the first two characters, and
     rows of no known operator are dropped last."""
-    rows = sightings.filter(departs_between(spec.forward_days(as_of)))
     products = spec.product_rows()
     rows = keep(
-        rows,
+        sightings,
         [
+            departs_between(spec.forward_days(as_of)),
             *spec.hub_rows(),
             *spec.place_rows(),
             *spec.service_rows(),

@@ -66,8 +66,13 @@ def past_sightings(
     else:
         rows = scraped_since(sightings, as_of, days + SCRAPE_MARGIN_DAYS)
     return keep(
-        rows.filter(departs_between(chosen or past_days(as_of, days))),
-        [spec.operator_rows(), *spec.place_rows(), *spec.service_rows()],
+        rows,
+        [
+            departs_between(chosen or past_days(as_of, days)),
+            spec.operator_rows(),
+            *spec.place_rows(),
+            *spec.service_rows(),
+        ],
     )
 
 
@@ -193,6 +198,8 @@ def history(
     sightings: DataFrame, spec: FilterSpec, as_of: datetime, view: str = "wow"
 ) -> dict[str, DataFrame]:
     """Results of one view by name; an unknown name means week over week."""
+    if view == "mom":
+        raise ValueError("there is no month-over-month view")
     if view == "trend_45":
         return {"points": trend(past_services(sightings, spec, as_of))}
     if view == "share":
@@ -225,9 +232,10 @@ def trend_on_complete_days(
     rows = on_days(scraped_on_days_since(sightings, as_of, window), complete)
     products = spec.product_rows()
     rows = keep(
-        # The day is part of the departure's key, so it can be checked first.
-        rows.filter(departs_between(past_days(as_of, days))),
+        rows,
         [
+            # The day is part of the departure's key, so it can be checked first.
+            departs_between(past_days(as_of, days)),
             *spec.hub_rows(),
             *spec.place_rows(),
             *spec.service_rows(),

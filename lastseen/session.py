@@ -16,6 +16,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Views are assembled from many small expressions; recording the call site
+    # of each takes longer than building them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

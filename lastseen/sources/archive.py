@@ -75,21 +75,26 @@ def scrape_day(frame: DataFrame):
     return business_date(F.col("scrape_timestamp"))
 
 
-def write_inventory(typed: DataFrame, path: str, mode: str = "append") -> None:
+def write_inventory(
+    typed: DataFrame, path: str, mode: str = "append", replace_days: bool = False
+) -> None:
     """Store typed sightings by scrape day, ordered for date and route filters.
 
     Rebalancing splits a day that dwarfs the others into several tasks and
-    merges small ones, so file sizes stay even.
+    merges small ones, so file sizes stay even.  ``replace_days`` rewrites the
+    scrape days found in the batch and no others, so a failed load of whole
+    days can simply be repeated.
     """
     require_utc(typed.sparkSession)
-    (
+    writer = (
         typed.withColumn("scrape_date", business_date(F.col("scrape_timestamp")))
         .hint("rebalance", "scrape_date")
         .sortWithinPartitions("scrape_date", "departure_date", "relation_name", "service_id")
-        .write.mode(mode)
-        .partitionBy("scrape_date")
-        .parquet(path)
+        .write.partitionBy("scrape_date")
     )
+    if replace_days:
+        mode, writer = "overwrite", writer.option("partitionOverwriteMode", "dynamic")
+    writer.mode(mode).parquet(path)
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:

@@ -73,6 +73,15 @@ def test_round_trip_keeps_every_row(spark, tmp_path):
     assert read_inventory(spark, path).count() == 5
 
 
+def test_a_load_of_whole_days_can_be_repeated(spark, tmp_path):
+    path = str(tmp_path / "inventory")
+    monday = archive(spark, sighting(service_id="mon", scrape_timestamp=at(31, 6, month=5)))
+    tuesday = archive(spark, sighting(service_id="tue"), sighting(service_id="tue2"))
+    for batch in (monday, tuesday, tuesday):
+        write_inventory(batch, path, replace_days=True)
+    assert tuples(read_inventory(spark, path), "service_id") == [("mon",), ("tue",), ("tue2",)]
+
+
 def test_verdicts_round_trip(spark, tmp_path):
     rows = verdict_archive(spark, (at(1), "a to b", "3-Jun-2026", "s1", "seater"))
     path = str(tmp_path / "verdicts")

@@ -422,6 +422,11 @@ def test_history_by_view_name(spark, view, names):
     assert all(frame.count() > 0 for frame in results.values())
 
 
+def test_there_is_no_month_over_month_view(spark):
+    with pytest.raises(ValueError):
+        past.history(archive(spark), EVERYTHING, AS_OF, "mom")
+
+
 # ---- archive quality ----
 
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from lastseen.sources.archive import scrape_day
 
+# Sightings and days ahead that make a scrape day complete.
+COMPLETE_DAY_ROWS = 150_000
+COMPLETE_DAY_SPAN = 29
+
 
 def scrape_day_sizes(sightings: DataFrame) -> DataFrame:
     """Sightings per scrape day; days without any have no row."""
@@ -15,7 +19,11 @@ def scrape_day_sizes(sightings: DataFrame) -> DataFrame:
     )
 
 
-def complete_days(sightings: DataFrame, min_rows: int, min_span: int) -> DataFrame:
+def complete_days(
+    sightings: DataFrame,
+    min_rows: int = COMPLETE_DAY_ROWS,
+    min_span: int = COMPLETE_DAY_SPAN,
+) -> DataFrame:
     """Scrape days with enough sightings that also look far enough ahead."""
     ahead = F.date_diff(F.max("departure_date"), F.min("departure_date"))
     return (

@@ -25,6 +25,7 @@ from lastseen.operators.filters import (
 from lastseen.operators.latest import latest_slots, with_verdict
 from lastseen.sources.dimensions import with_line_number
 
+# Report length, label of blank services, columns of a detail row.
 DETAIL_ROW_CAP = 15_000
 NO_SERVICE = "(no-service)"
 DETAIL_COLUMNS = (

@@ -20,7 +20,12 @@ from lastseen.operators.aggregates import (
     top_with_breakdown,
     weekday_profile,
 )
-from lastseen.operators.completeness import complete_days, on_days
+from lastseen.operators.completeness import (
+    COMPLETE_DAY_ROWS,
+    COMPLETE_DAY_SPAN,
+    complete_days,
+    on_days,
+)
 from lastseen.operators.filters import (
     SCRAPE_MARGIN_DAYS,
     FilterSpec,
@@ -32,6 +37,7 @@ from lastseen.operators.filters import (
 )
 from lastseen.operators.latest import latest_services, latest_slots
 
+# Window lengths in days and list lengths of the reports.
 HISTORY_DAYS = 45
 COMPARED_DAYS = 14
 TOP_RELATIONS = 10
@@ -174,6 +180,16 @@ def losers(changes: DataFrame, k: int = TOP_MOVERS) -> DataFrame:
     return ranked.orderBy(F.col("pct_delta").asc(), F.col("relation").asc()).limit(k)
 
 
+def movers(changes: DataFrame, k: int = TOP_MOVERS) -> DataFrame:
+    """Gainers and losers in one frame, told apart by ``direction``.
+
+    Both ends of the ranking come from the same shuffled sums, which Spark
+    computes once.
+    """
+    up = gainers(changes, k).withColumn("direction", F.lit("gainer"))
+    return up.unionByName(losers(changes, k).withColumn("direction", F.lit("loser")))
+
+
 def utilization(
     sightings: DataFrame, spec: FilterSpec, as_of: datetime, days: int = HISTORY_DAYS
 ) -> DataFrame:
@@ -221,8 +237,8 @@ def trend_on_complete_days(
     sightings: DataFrame,
     spec: FilterSpec,
     as_of: datetime,
-    min_rows: int,
-    min_span: int,
+    min_rows: int = COMPLETE_DAY_ROWS,
+    min_span: int = COMPLETE_DAY_SPAN,
     days: int = HISTORY_DAYS,
 ) -> DataFrame:
     """Older trend rules: only complete scrape days count, the product filter

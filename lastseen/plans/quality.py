@@ -11,11 +11,9 @@ from lastseen.functions.times import business_minute_text
 from lastseen.operators.completeness import scrape_day_sizes
 from lastseen.operators.filters import FORWARD_SCRAPE_DAYS, scraped_since
 
+# Days reported on and sightings a day needs to count as whole.
 FRESHNESS_DAYS = 60
 PARTIAL_DAY_ROWS = 50_000
-# Stricter rule of the older history views.
-COMPLETE_DAY_ROWS = 150_000
-COMPLETE_DAY_SPAN = 29
 
 
 def latest_scrape(sightings: DataFrame) -> DataFrame:

@@ -213,6 +213,30 @@ def test_lookups_are_broadcast(stored):
     )
 
 
+def executed(frame) -> str:
+    """Plan after the query ran, with the stages it reused."""
+    frame.collect()
+    return plan(frame)
+
+
+def test_movers_compute_the_changes_once(stored):
+    base = past.compared_services(stored, EVERYTHING, AS_OF)
+    movers = past.movers(past.week_over_week_by_relation(base, AS_OF))
+    assert "ReusedExchange" in executed(movers)
+
+
+def test_a_catalog_table_works_like_a_path(spark, tmp_path, stored):
+    target = str(tmp_path / "table")
+    stored.write.partitionBy("scrape_date").option("path", target).saveAsTable("stored_inventory")
+    try:
+        table = spark.table("stored_inventory")
+        frame = past.trend(past.past_services(table, EVERYTHING, AS_OF))
+        assert "PartitionFilters: [isnotnull(scrape_date" in plan(frame)
+        assert tuples(frame) == tuples(past.trend(past.past_services(stored, EVERYTHING, AS_OF)))
+    finally:
+        spark.sql("DROP TABLE stored_inventory")
+
+
 def test_newest_scrape_is_read_from_the_newest_partition(stored):
     assert re.search(r"PartitionFilters: \[.*scrape_date#\d+ = .*[Ss]ubquery", plan(
         quality.latest_scrape(stored)

@@ -408,6 +408,14 @@ ORDER BY pct_delta DESC, relation LIMIT 10""",
 ORDER BY pct_delta, relation LIMIT 10""",
         *MOVERS,
     ),
+    "wow_movers": sql(
+        """(SELECT *, 'gainer' AS direction FROM changes WHERE pct_delta IS NOT NULL
+  ORDER BY pct_delta DESC, relation LIMIT 10)
+UNION ALL
+(SELECT *, 'loser' AS direction FROM changes WHERE pct_delta IS NOT NULL
+  ORDER BY pct_delta, relation LIMIT 10)""",
+        *MOVERS,
+    ),
     "wow_by_operator": sql(
         "SELECT * FROM changes",
         past(14, f"({NAME_RULES['intrcity']} OR {NAME_RULES['nuego']})"),

@@ -366,6 +366,11 @@ def wow_losers(spark, sf_dir):
     return past.losers(past.week_over_week_by_relation(_compared(spark, sf_dir), AS_OF))
 
 
+@query
+def wow_movers(spark, sf_dir):
+    return past.movers(past.week_over_week_by_relation(_compared(spark, sf_dir), AS_OF))
+
+
 @query
 def utilization(spark, sf_dir):
     return past.utilization(inventory(spark, sf_dir), EVERYTHING, AS_OF)

@@ -68,6 +68,18 @@ def typed_verdicts(raw: DataFrame) -> DataFrame:
     return raw.withColumn("departure_date", feed_date(F.col("departure_date")))
 
 
+def unparsed_counts(raw: DataFrame) -> DataFrame:
+    """How many sightings carry text that typing turns into null, in one pass."""
+    typed = typed_inventory(raw.withColumns({f"_{name}": F.col(name) for name in TYPED_FIELDS}))
+    lost = {
+        name: F.count_if(F.col(f"_{name}").isNotNull() & F.col(name).isNull())
+        for name in TYPED_FIELDS
+    }
+    return typed.agg(
+        F.count(F.lit(1)).alias("sightings"), *(count.alias(name) for name, count in lost.items())
+    )
+
+
 def scrape_day(frame: DataFrame):
     """Scrape day column: the stored partition if there is one, else derived."""
     if "scrape_date" in frame.columns:

@@ -7,7 +7,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from lastseen import build_session  # noqa: E402
 
-SF_DIRS = {"small": "/root/testdata/sf0.001", "medium": "/root/testdata/sf0.01"}
+SF_DIRS = {
+    "small": "/root/testdata/sf0.001",
+    "medium": "/root/testdata/sf0.01",
+    "large": "/root/testdata/sf0.1",
+}
 
 
 @pytest.fixture(scope="session")

@@ -17,9 +17,11 @@ from lastseen.plans import history as past
 from lastseen.plans import quality
 from lastseen.session import require_utc, shared_folder
 from lastseen.sources.archive import (
+    RAW_INVENTORY,
     read_inventory,
     read_verdicts,
     scrape_day,
+    unparsed_counts,
     write_inventory,
     write_results,
     write_verdicts,
@@ -82,6 +84,20 @@ def test_a_load_of_whole_days_can_be_repeated(spark, tmp_path):
     assert tuples(read_inventory(spark, path), "service_id") == [("mon",), ("tue",), ("tue2",)]
 
 
+def test_unparsed_text_is_counted(spark):
+    raw = spark.createDataFrame(
+        [
+            sighting(departure_date="31-Feb-2026", total_seats="n/a", available_seats=None),
+            sighting(departure_date="1-Jun-2026", total_seats="12.5", available_seats=""),
+            sighting(departure_date=None, total_seats=None),
+        ],
+        RAW_INVENTORY,
+    )
+    assert unparsed_counts(raw).first().asDict() == {
+        "sightings": 3, "departure_date": 1, "available_seats": 1, "total_seats": 2,
+    }
+
+
 def test_verdicts_round_trip(spark, tmp_path):
     rows = verdict_archive(spark, (at(1), "a to b", "3-Jun-2026", "s1", "seater"))
     path = str(tmp_path / "verdicts")
@@ -177,6 +193,15 @@ def test_trend_reads_only_what_it_counts(stored):
     }
 
 
+def test_relation_and_line_filters_reach_the_scan(stored):
+    spec = FilterSpec(relation="Mumbai to Goa", line_code="IN0421B")
+    pushed = re.search(
+        r"PushedFilters: (\[.*\])", plan(fwd.latest_departures(stored, spec, AS_OF))
+    ).group(1)
+    assert "EqualTo(relation_name,Mumbai to Goa)" in pushed
+    assert "StringStartsWith(service_id,4568ed20" in pushed
+
+
 def test_newest_sightings_are_cut_before_the_shuffle(stored):
     text = plan(latest_services(stored))
     partial = text.index("WindowGroupLimit", text.index("Exchange"))

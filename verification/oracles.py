@@ -246,6 +246,15 @@ ORACLES: dict[str, str] = {
         """SELECT departure_date, total_seats, available_seats, count(*) AS n,
   CAST(sum(available_seats) AS BIGINT) AS free
 FROM inv GROUP BY departure_date, total_seats, available_seats"""
+    ),
+    "unparsed_text": sql(
+        f"""SELECT count(*) AS sightings,
+  count(*) FILTER (WHERE departure_date IS NOT NULL AND {PARSED_DAY} IS NULL) AS departure_date,
+  count(*) FILTER (WHERE available_seats IS NOT NULL
+    AND TRY_CAST(available_seats AS BIGINT) IS NULL) AS available_seats,
+  count(*) FILTER (WHERE total_seats IS NOT NULL
+    AND TRY_CAST(total_seats AS BIGINT) IS NULL) AS total_seats
+FROM bus_inventory"""
     ),
     "route_regions": sql(
         """SELECT relation_name, region, count(*) AS n

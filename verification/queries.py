@@ -28,6 +28,7 @@ from lastseen.plans import departures as fwd
 from lastseen.plans import history as past
 from lastseen.plans import quality
 from lastseen.sources.archive import typed_inventory as typed
+from lastseen.sources.archive import unparsed_counts
 from lastseen.sources.dimensions import with_line_number, with_region
 from verification.fixtures import AS_OF, inventory, raw_inventory, verdicts
 
@@ -64,6 +65,11 @@ def typed_inventory(spark, sf_dir):
     )
 
 
+@query
+def unparsed_text(spark, sf_dir):
+    return unparsed_counts(raw_inventory(spark, sf_dir))
+
+
 @query
 def route_regions(spark, sf_dir):
     return _count(with_region(inventory(spark, sf_dir)), "relation_name", "region")

@@ -162,9 +162,12 @@ def week_over_week(services: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def week_over_week_by_relation(services: DataFrame, as_of: datetime) -> DataFrame:
-    """The same per route, whoever operates it."""
+    """The same per route, whoever operates it.
+
+    The base has one row per route, day and service, so rows are services.
+    """
     daily = services.groupBy(F.col("relation_name").alias("relation"), "departure_date").agg(
-        F.countDistinct("service_id").alias("n")
+        F.count(F.lit(1)).alias("n")
     )
     return period_over_period(daily, "relation", "departure_date", "n", business_day(as_of))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lastseen.functions.times import business_minute_text
 from lastseen.operators.completeness import scrape_day_sizes
 from lastseen.operators.filters import FORWARD_SCRAPE_DAYS, scraped_since
+from lastseen.session import require_utc
 
 # Days reported on and sightings a day needs to count as whole.
 FRESHNESS_DAYS = 60
@@ -21,6 +22,7 @@ def latest_scrape(sightings: DataFrame) -> DataFrame:
 
     A stored archive answers from its newest partition.
     """
+    require_utc(sightings.sparkSession)
     if "scrape_date" in sightings.columns:
         newest_day = sightings.select("scrape_date").agg(F.max("scrape_date")).scalar()
         sightings = sightings.filter(F.col("scrape_date") == newest_day)

@@ -7,7 +7,7 @@ scrape day lets every scrape window prune folders.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,10 +80,11 @@ def unparsed_counts(raw: DataFrame) -> DataFrame:
     )
 
 
-def scrape_day(frame: DataFrame):
+def scrape_day(frame: DataFrame) -> Column:
     """Scrape day column: the stored partition if there is one, else derived."""
     if "scrape_date" in frame.columns:
         return F.col("scrape_date")
+    require_utc(frame.sparkSession)
     return business_date(F.col("scrape_timestamp"))
 
 

@@ -26,8 +26,9 @@ def round_to_tenth(value: Column) -> Column:
         .when(beyond_half < 0, tenths)
         .otherwise(tenths + F.pmod(tenths, F.lit(2)))
     ) / F.lit(10.0)
-    # Doubles this large have no decimals left to round.
-    return F.when(F.abs(value) < 1e15, rounded).otherwise(value)
+    # Twenty times the value has to fit the 53 bits of a double.  Beyond that a
+    # double has so few decimals that its shortest text shows every halfway point.
+    return F.when(F.abs(value) < 4e14, rounded).otherwise(F.bround(value, 1))
 
 
 def percent(numerator: Column, denominator: Column) -> Column:

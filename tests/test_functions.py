@@ -190,7 +190,7 @@ def test_business_day_needs_a_time_zone():
 
 
 @settings(
-    max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+    max_examples=30, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
 @given(
     st.lists(
@@ -198,6 +198,7 @@ def test_business_day_needs_a_time_zone():
             st.floats(-1e6, 1e6),
             st.integers(-20_000, 20_000).map(lambda n: n / 20),
             st.tuples(st.integers(0, 5000), st.integers(1, 5000)).map(lambda p: p[0] / p[1] * 100),
+            st.integers(2**52, 2**57).map(lambda n: n / 16),
             st.floats(allow_nan=False, allow_infinity=False),
         ),
         min_size=200,

@@ -89,7 +89,12 @@ def with_verdict(
     right = latest_verdicts(verdicts)
     if not lacks_identity:
         return latest.join(right, list(SERVICE_KEY), "left")
-    spread = F.when(has_identity(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(*SLOT_KEY))
-    left = latest.withColumn("_match", spread)
-    right = right.withColumn("_match", F.lit(0).cast("bigint"))
-    return left.join(right, [*SERVICE_KEY, "_match"], "left").drop("_match")
+    own_key = F.concat(F.lit("no match "), F.xxhash64(*SLOT_KEY).cast("string"))
+    left = latest.withColumn(
+        "_service", F.when(has_identity(), F.col("service_id")).otherwise(own_key)
+    )
+    right = right.withColumnRenamed("service_id", "_service")
+    joined = left.join(right, ["relation_name", "departure_date", "_service"], "left")
+    # Exact even if a service id should equal one of the made-up keys.
+    verdict = F.when(has_identity(), F.col("bus_product_type"))
+    return joined.withColumn("bus_product_type", verdict).drop("_service")

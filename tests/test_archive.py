@@ -225,6 +225,32 @@ def test_service_verdict_join_needs_no_further_shuffle(spark, stored, stored_ver
     assert tree.count("Exchange") == 2
 
 
+def test_blank_slots_are_spread_over_the_join(spark, stored_verdicts):
+    """Slots of one blank service differ in time only and share no verdict."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.enabled": "false",
+    }
+    rows = archive(
+        spark,
+        *(
+            sighting(service_id="", departure_time=f"{n % 24:02}:{n // 24:02}:00")
+            for n in range(960)
+        ),
+    )
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        joined = fwd.latest_departures(rows, EVERYTHING, AS_OF, stored_verdicts)
+        sizes = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sum(row["count"] for row in sizes) == 960
+    assert max(row["count"] for row in sizes) < 960 / 4
+
+
 def test_complete_days_prune_partitions(stored):
     days = complete_days(scraped_since(stored, AS_OF, 60), 10, 29)
     text = plan(on_days(stored, days))

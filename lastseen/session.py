@@ -55,6 +55,17 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Hold a session setting at ``value``, for what has no per-write option."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @contextmanager
 def shared(frame: DataFrame) -> Iterator[DataFrame]:
     """Keep a frame while several results are derived from it.

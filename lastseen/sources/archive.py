@@ -7,12 +7,12 @@ scrape day lets every scrape window prune folders.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lastseen.functions.times import business_date, feed_date
-from lastseen.session import require_utc
+from lastseen.session import require_utc, setting
 
 RAW_INVENTORY = T.StructType(
     [
@@ -88,6 +88,12 @@ def scrape_day(frame: DataFrame) -> Column:
     return business_date(F.col("scrape_timestamp"))
 
 
+def _write_archive(spark: SparkSession, writer: DataFrameWriter, path: str) -> None:
+    # The default timestamp encoding keeps no statistics to skip row groups by.
+    with setting(spark, "spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS"):
+        writer.parquet(path)
+
+
 def write_inventory(
     typed: DataFrame, path: str, mode: str = "append", replace_days: bool = False
 ) -> None:
@@ -107,7 +113,7 @@ def write_inventory(
     )
     if replace_days:
         mode, writer = "overwrite", writer.option("partitionOverwriteMode", "dynamic")
-    writer.mode(mode).parquet(path)
+    _write_archive(typed.sparkSession, writer.mode(mode), path)
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -118,13 +124,12 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
 def write_verdicts(typed: DataFrame, path: str, mode: str = "append") -> None:
     """Store product verdicts by departure day, the only window they are read by."""
     require_utc(typed.sparkSession)
-    (
+    writer = (
         typed.hint("rebalance", "departure_date")
         .sortWithinPartitions("departure_date", "relation_name", "service_id")
-        .write.mode(mode)
-        .partitionBy("departure_date")
-        .parquet(path)
+        .write.partitionBy("departure_date")
     )
+    _write_archive(typed.sparkSession, writer.mode(mode), path)
 
 
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 from contextlib import redirect_stdout
 from datetime import date
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from lastseen.operators.latest import latest_services, with_verdict
 from lastseen.plans import departures as fwd
 from lastseen.plans import history as past
 from lastseen.plans import quality
-from lastseen.session import require_utc, shared_folder
+from lastseen.session import require_utc, setting, shared_folder
 from lastseen.sources.archive import (
     RAW_INVENTORY,
     read_inventory,
@@ -84,6 +85,13 @@ def test_a_load_of_whole_days_can_be_repeated(spark, tmp_path):
     assert tuples(read_inventory(spark, path), "service_id") == [("mon",), ("tue",), ("tue2",)]
 
 
+def test_stored_columns_have_statistics_to_skip_by(stored):
+    chunks = pq.ParquetFile(stored.inputFiles()[0].removeprefix("file://")).metadata.row_group(0)
+    columns = {chunks.column(i).path_in_schema: chunks.column(i) for i in range(chunks.num_columns)}
+    for name in ("scrape_timestamp", "departure_date", "relation_name", "service_id"):
+        assert columns[name].statistics.has_min_max, name
+
+
 def test_unparsed_text_is_counted(spark):
     raw = spark.createDataFrame(
         [
@@ -134,30 +142,21 @@ def test_json_results_show_iso_dates_and_nulls(spark, tmp_path):
 
 def test_a_dominant_scrape_day_is_split_over_files(spark, tmp_path, stored):
     """Most sightings on one day still end up in evenly sized files."""
-    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    before = spark.conf.get(setting)
     hot = stored.drop("scrape_date").withColumn(
         "scrape_timestamp",
         F.when(F.col("service_id") > "svc-3", F.lit(AS_OF)).otherwise(F.col("scrape_timestamp")),
     )
-    spark.conf.set(setting, "32k")
-    try:
+    with setting(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes", "32k"):
         write_inventory(hot, str(tmp_path / "hot"))
-    finally:
-        spark.conf.set(setting, before)
     files = list((tmp_path / "hot" / "scrape_date=2026-06-01").glob("*.parquet"))
     assert len(files) > 1
     assert read_inventory(spark, str(tmp_path / "hot")).count() == stored.count()
 
 
 def test_library_refuses_other_session_zones(spark):
-    zone = spark.conf.get("spark.sql.session.timeZone")
-    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
-    try:
+    with setting(spark, "spark.sql.session.timeZone", "Asia/Kolkata"):
         with pytest.raises(ValueError):
             require_utc(spark)
-    finally:
-        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_shared_folder_is_stable(spark):
@@ -214,23 +213,14 @@ def test_verdict_scan_prunes_departure_days(stored, stored_verdicts):
 
 
 def test_service_verdict_join_needs_no_further_shuffle(spark, stored, stored_verdicts):
-    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
         text = plan(with_verdict(latest_services(stored, "travels_name"), stored_verdicts))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert "SortMergeJoin" in text
-    tree = text[: text.index("(1)")] if "(1) Scan" not in text else text.split("(1) Scan")[0]
-    assert tree.count("Exchange") == 2
+    assert text.split("(1) Scan")[0].count("Exchange") == 2
 
 
 def test_blank_slots_are_spread_over_the_join(spark, stored_verdicts):
     """Slots of one blank service differ in time only and share no verdict."""
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.enabled": "false",
-    }
     rows = archive(
         spark,
         *(
@@ -238,15 +228,12 @@ def test_blank_slots_are_spread_over_the_join(spark, stored_verdicts):
             for n in range(960)
         ),
     )
-    before = {key: spark.conf.get(key) for key in settings}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
-    try:
+    with (
+        setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"),
+        setting(spark, "spark.sql.adaptive.enabled", "false"),
+    ):
         joined = fwd.latest_departures(rows, EVERYTHING, AS_OF, stored_verdicts)
         sizes = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
     assert sum(row["count"] for row in sizes) == 960
     assert max(row["count"] for row in sizes) < 960 / 4
 

@@ -35,7 +35,7 @@ from lastseen.operators.filters import (
     scraped_on_days_since,
     scraped_since,
 )
-from lastseen.operators.latest import latest_services, latest_slots
+from lastseen.operators.latest import latest_services, latest_slots, with_verdict
 
 # Window lengths in days and list lengths of the reports.
 HISTORY_DAYS = 45
@@ -58,6 +58,13 @@ def past_days(as_of: datetime, days: int) -> tuple[date, date]:
     return today - timedelta(days=days), today - timedelta(days=1)
 
 
+def past_window(
+    spec: FilterSpec, as_of: datetime, days: int, explicit_range: bool = True
+) -> tuple[date, date]:
+    """Departure days of a view: the request's own range, else the last ``days``."""
+    return (explicit_range and spec.past_range()) or past_days(as_of, days)
+
+
 def past_sightings(
     sightings: DataFrame,
     spec: FilterSpec,
@@ -66,15 +73,14 @@ def past_sightings(
     explicit_range: bool = True,
 ) -> DataFrame:
     """Sightings of past departures that pass every filter but the product one."""
-    chosen = spec.past_range() if explicit_range else None
-    if chosen:
-        rows = scraped_around(sightings, chosen)
+    if explicit_range and spec.past_range():
+        rows = scraped_around(sightings, spec.past_range())
     else:
         rows = scraped_since(sightings, as_of, days + SCRAPE_MARGIN_DAYS)
     return keep(
         rows,
         [
-            departs_between(chosen or past_days(as_of, days)),
+            departs_between(past_window(spec, as_of, days, explicit_range)),
             spec.operator_rows(),
             *spec.place_rows(),
             *spec.service_rows(),
@@ -88,11 +94,13 @@ def past_services(
     as_of: datetime,
     days: int = HISTORY_DAYS,
     explicit_range: bool = True,
+    verdicts: DataFrame | None = None,
 ) -> DataFrame:
     """Newest sighting per service and day, then the product filter.
 
     The base of trend, share, weekday profile and relation counts: frames for
-    equal arguments are equal and can be ``shared``.
+    equal arguments are equal and can be ``shared``.  None of them reads the
+    verdict, so it is joined only on request.
     """
     rows = past_sightings(sightings, spec, as_of, days, explicit_range)
     products = spec.product_rows()
@@ -100,6 +108,9 @@ def past_services(
         latest = latest_services(rows, "travels_name")
     else:
         latest = latest_services(rows, "travels_name", "bus_type", "total_seats").filter(products)
+    if verdicts is not None:
+        window = past_window(spec, as_of, days, explicit_range)
+        latest = with_verdict(latest, verdicts.filter(departs_between(window)))
     return latest.withColumn("operator", operator_of(F.col("travels_name")))
 
 

@@ -373,6 +373,12 @@ FROM fwd WHERE operator <> 'other' GROUP BY 1, 2, 3""",
         DAILY,
     ),
     "filter_service": sql(TREND, past(45, "service_id = 'svc-12'"), DAILY),
+    "past_with_enriched": sql(
+        f"""SELECT operator, bus_product_type, count(*) AS n
+FROM svc LEFT JOIN ({NEWEST_VERDICT}) USING (relation_name, departure_date, service_id)
+GROUP BY ALL""",
+        past(45),
+    ),
     "trend_by_region": sql(
         TREND,
         ROUTES,

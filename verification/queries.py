@@ -316,6 +316,14 @@ def filter_service(spark, sf_dir):
     return past.trend(_past(spark, sf_dir, FilterSpec(line_code="svc-12")))
 
 
+@query
+def past_with_enriched(spark, sf_dir):
+    services = past.past_services(
+        inventory(spark, sf_dir), EVERYTHING, AS_OF, verdicts=verdicts(spark, sf_dir)
+    )
+    return _count(services, "operator", "bus_product_type")
+
+
 @query
 def trend_by_region(spark, sf_dir):
     return past.trend(_past(spark, sf_dir, FilterSpec(region="IN11")))

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 # The characters that separate words, as given by the contracts.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+# Mark-up characters of the quality contract.
+SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -122,10 +124,16 @@ def text_of(column: str = "text") -> Column:
 
 def words_of(text: Column) -> Column:
     """Array of the words of a text; empty for a text without any."""
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda word: word != "")
+    trimmed = F.btrim(text, F.lit(SPACES))
+    found = F.split(trimmed, r"[\x20\x09-\x0D]+", -1)
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(found)
 
 
 def word_count(text: Column) -> Column:
-    """Number of words, without building them."""
-    squeezed = F.translate(F.translate(text, "\t\n\x0b\x0c\r", "     "), "\x00", "x")
-    return F.size(F.filter(F.split(squeezed, " +", -1), lambda word: word != "")).cast("long")
+    """Number of words of a text."""
+    return F.size(words_of(text)).cast("long")
+
+
+def symbol_count(text: Column) -> Column:
+    """Number of characters that belong to mark-up rather than to prose."""
+    return (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long")

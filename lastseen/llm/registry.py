@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from lastseen.llm.mixing import OP4_SQL, op4_mixing
+from lastseen.llm.outliers import op9_quality_rules
 from lastseen.llm.prefix_free import op5_suffix_dedup
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {
+    "op4_mixing": op4_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL}

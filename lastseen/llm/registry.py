@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 from lastseen.llm.byte_pair import op10_byte_bpe
 from lastseen.llm.mixing import OP4_SQL, op4_mixing
 from lastseen.llm.outliers import op9_quality_rules
+from lastseen.llm.personal_data import op1_personal_data
 from lastseen.llm.prefix_free import op5_suffix_dedup
 from lastseen.llm.token_files import op6_token_files
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {
+    "op1_personal_data": op1_personal_data,
     "op4_mixing": op4_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_files": op6_token_files,

@@ -11,15 +11,19 @@ from lastseen.llm.mixing import OP4_SQL, op4_mixing
 from lastseen.llm.outliers import op9_quality_rules
 from lastseen.llm.personal_data import op1_personal_data
 from lastseen.llm.prefix_free import op5_suffix_dedup
+from lastseen.llm.quality_model import op3_quality_model
 from lastseen.llm.token_files import op6_token_files
+from lastseen.llm.topk import OP8_SQL, op8_exact_topk
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {
     "op1_personal_data": op1_personal_data,
+    "op3_quality_model": op3_quality_model,
     "op4_mixing": op4_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_files": op6_token_files,
+    "op8_exact_topk": op8_exact_topk,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op8_exact_topk": OP8_SQL}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from lastseen.llm.byte_pair import op10_byte_bpe
 from lastseen.llm.mixing import OP4_SQL, op4_mixing
+from lastseen.llm.near_dup import OP2_SQL, op2_near_dup
 from lastseen.llm.outliers import op9_quality_rules
 from lastseen.llm.personal_data import op1_personal_data
 from lastseen.llm.prefix_free import op5_suffix_dedup
@@ -17,6 +18,7 @@ from lastseen.llm.topk import OP8_SQL, op8_exact_topk
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {
     "op1_personal_data": op1_personal_data,
+    "op2_near_dup": op2_near_dup,
     "op3_quality_model": op3_quality_model,
     "op4_mixing": op4_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
@@ -26,4 +28,4 @@ QUERIES: dict[str, Callable[..., DataFrame]] = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op8_exact_topk": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_near_dup": OP2_SQL, "op4_mixing": OP4_SQL, "op8_exact_topk": OP8_SQL}

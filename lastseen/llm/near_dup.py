@@ -316,9 +316,9 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
 def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    gone = near_groups(docs, words, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
+    gone = near_groups(docs, words, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"))
     gone = stored(gone.distinct(), "near-copies")
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left_anti")
 
 
 @shipped

@@ -355,7 +355,8 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     anywhere else too, in another text or in the same one; matches overlap but do
     not cross texts.  Null texts are empty; shorter texts keep everything.  Rows
     that are equal in id and text are copies of each other.  The id is an integer
-    and may be null.  Columns of other names pass through.
+    and may be null.  Other columns pass through, those of the added names are
+    replaced.
     """
     key = F.col(id_column).cast("long")
     check = F.crc32(F.encode(text_of(text_column), "UTF-8")).bitwiseAND(0x7FFFFFFF)
@@ -398,23 +399,22 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     marks = whole.select("id", "place", F.lit(None).cast("array<int>").alias("runs")).unionByName(
         mixed.join(partly, ["stem", "context"]).select("id", "place", "runs")
     )
-    found = (
-        marks.groupBy(F.col("id").alias("_id"), F.shiftright("place", 32).alias("_check"))
-        .agg(
-            F.collect_list(F.when(F.col("runs").isNull(), F.col("place"))).alias("_whole"),
-            F.collect_list(F.when(F.col("runs").isNotNull(), F.struct("place", "runs"))).alias("_part"),
-        )
+    found = marks.groupBy(
+        F.col("id").alias("__id"), F.shiftright("place", 32).alias("__check")
+    ).agg(
+        F.collect_list(F.when(F.col("runs").isNull(), F.col("place"))).alias("__whole"),
+        F.collect_list(F.when(F.col("runs").isNotNull(), F.struct("place", "runs"))).alias("__part"),
     )
-    others = [name for name in docs.columns if name != text_column]
-    joined = docs.withColumns({"_key": key, "_sum": check}).join(
+    added = {column.split()[0] for column in REMOVAL_SCHEMA.split(", ")}
+    others = [f for f in docs.schema if f.name != text_column and f.name not in added]
+    joined = docs.withColumns({"__key": key, "__sum": check}).join(
         found,
-        F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_sum") == F.col("_check")),
+        F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__sum") == F.col("__check")),
         "left",
     )
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_column)
-    return joined.select(*[F.col(f"`{n}`") for n in others], F.col(text_column), "_whole", "_part").mapInArrow(
-        _cut, f"{schema}, {REMOVAL_SCHEMA}"
-    )
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in others] + [REMOVAL_SCHEMA]
+    columns = [F.col(f"`{f.name}`") for f in others] + [F.col(text_column), "__whole", "__part"]
+    return joined.select(*columns).mapInArrow(_cut, ", ".join(schema))
 
 
 @shipped

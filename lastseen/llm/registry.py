@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+import corpus_pipeline
 from lastseen.llm.byte_pair import op10_byte_bpe
+from lastseen.llm.line_dedup import OP7_SQL, op7_line_dedup
 from lastseen.llm.mixing import OP4_SQL, op4_mixing
 from lastseen.llm.near_dup import OP2_SQL, op2_near_dup
 from lastseen.llm.outliers import op9_quality_rules
@@ -23,9 +25,17 @@ QUERIES: dict[str, Callable[..., DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_files": op6_token_files,
+    "op7_line_dedup": op7_line_dedup,
     "op8_exact_topk": op8_exact_topk,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op2_near_dup": OP2_SQL, "op4_mixing": OP4_SQL, "op8_exact_topk": OP8_SQL}
+#: Operators 1, 3, 5, 6, 9 and 10 and the pipeline are checked against brute force.
+ORACLES: dict[str, str] = {
+    "op2_near_dup": OP2_SQL,
+    "op4_mixing": OP4_SQL,
+    "op7_line_dedup": OP7_SQL,
+    "op8_exact_topk": OP8_SQL,
+}

@@ -231,7 +231,9 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    spread = placed.select("part", "tokens", "index", "base").repartition("part")
+    # A stated number of partitions: rows this small would else meet in one task.
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = placed.select("part", "tokens", "index", "base").repartition(tasks, "part")
     return spread.mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -11,7 +11,10 @@
 4. The rest is confirmed on the full shingle sets.
 5. Connected components of the links.  Where a bucket still holds classes of
    different components, those outside its largest component are compared with the
-   others too, so that no link between different texts is lost.
+   others too, so that no link between different texts is lost: by odd sketches of
+   many more samples, inside the join, so that only close pairs leave it.  A first
+   round confirms the closest few of each class, which joins nearly all that belong
+   together; a second one all that are left between components.
 """
 
 from __future__ import annotations
@@ -22,19 +25,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lastseen.llm.common import shipped, stored
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-#: Bits of an odd sketch.
+#: Bits of an odd sketch; samples and bits of the fine sketches of step 5.
 SKETCH_BITS = 512
+FINE_SAMPLES, FINE_BITS = 1024, 2048
 #: Standard errors a candidate's estimate may lie below the threshold.
-SLACK = 6.0
+SLACK = 6.5
+#: Partners that a class has confirmed in the first round of step 5.
+CLOSEST = 4
 
-_SEEDS = np.random.default_rng(84_317).integers(0, 2**64, (3, SAMPLES), dtype=np.uint64)
+_SEEDS = np.random.default_rng(84_317).integers(0, 2**64, (3, FINE_SAMPLES), dtype=np.uint64)
 _MULTIPLY, _ADD, _TURN = _SEEDS[0] | np.uint64(1), _SEEDS[1], _SEEDS[2]
 _BYTE_VALUES = np.random.default_rng(55_021).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -81,32 +87,37 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(found)
 
 
-def min_hashes(shingles: np.ndarray) -> np.ndarray:
-    lowest = np.full(SAMPLES, np.uint64(2**64 - 1))
-    for start in range(0, len(shingles), 4096):
-        some = shingles[start : start + 4096]
-        values = _MULTIPLY[:, None] * some + _ADD[:, None]
+def min_hashes(shingles: np.ndarray, count: int = SAMPLES) -> np.ndarray:
+    lowest = np.full(count, np.uint64(2**64 - 1))
+    step = 1 << 19
+    for start in range(0, len(shingles), max(1, step // count)):
+        some = shingles[start : start + max(1, step // count)]
+        values = _MULTIPLY[:count, None] * some + _ADD[:count, None]
         np.minimum(lowest, values.min(axis=1), out=lowest)
     return lowest
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
+def odd_sketch(samples: np.ndarray, size: int = SKETCH_BITS) -> np.ndarray:
     """Parities of the samples that fall on each bit, as signed 64-bit words."""
-    bits = (_mixed(samples ^ _TURN) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    odd = np.bincount(bits, minlength=SKETCH_BITS) & 1
+    bits = (_mixed(samples ^ _TURN[: len(samples)]) % np.uint64(size)).astype(np.int64)
+    odd = np.bincount(bits, minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def estimate(differing: Column) -> Column:
-    """Similarity from the number of differing sketch bits."""
-    share = F.greatest(1 - 2 * differing / F.lit(float(SKETCH_BITS)), F.lit(1e-9))
-    return 1 + F.lit(SKETCH_BITS / (4 * SAMPLES)) * F.log(share)
+def estimate(one: str, other: str, samples: int = SAMPLES, bits: int = SKETCH_BITS) -> Column:
+    """Similarity from the number of bits in which two sketch columns differ."""
+    differing = sum(
+        (F.bit_count(F.get(one, F.lit(i)).bitwiseXOR(F.get(other, F.lit(i)))) for i in range(bits // 64)),
+        F.lit(0),
+    )
+    share = F.greatest(1 - 2 * differing / F.lit(float(bits)), F.lit(1e-9))
+    return 1 + F.lit(bits / (4 * samples)) * F.log(share)
 
 
-def least_estimate(percent: int) -> float:
+def least_estimate(percent: int, samples: int = SAMPLES) -> float:
     """Estimates of true links stay above this but for one in 10^9."""
     threshold = percent / 100
-    return threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SAMPLES)
+    return threshold - SLACK * math.sqrt(threshold * (1 - threshold) / samples)
 
 
 SIGNATURE_SCHEMA = "doc_id long, n_shingles long, node binary, bands array<long>, sketch array<long>"
@@ -141,19 +152,28 @@ def _signatures(words: int):
     return work
 
 
-def _sets(words: int):
-    """Columns node, text -> node, shingles; texts of another set are passed over."""
+SET_SCHEMA = "node binary, shingles binary, fine array<long>"
+
+
+def _sets(words: int, fine: bool):
+    """Columns node, text -> node, shingles and fine sketch; texts of another set
+    are passed over."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sets = [], []
+            nodes, sets, sketches = [], [], []
             for node, text in zip(batch.column(0), batch.column(1)):
-                data = shingle_set(text.as_py(), words).tobytes()
+                shingles = shingle_set(text.as_py(), words)
+                data = shingles.tobytes()
                 if hashlib.blake2b(data, digest_size=16).digest() == node.as_py():
                     nodes.append(node.as_py())
                     sets.append(data)
+                    samples = min_hashes(shingles, FINE_SAMPLES) if fine else None
+                    sketches.append(odd_sketch(samples, FINE_BITS) if fine else None)
+            types = (pa.binary(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["node", "shingles"]
+                [pa.array(v, t) for v, t in zip((nodes, sets, sketches), types)],
+                names=["node", "shingles", "fine"],
             )
 
     return work
@@ -207,54 +227,70 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     sketches = classes.select("node", "sketch")
     one = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
     other = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
-    differing = sum(
-        (F.bit_count(F.get("x", F.lit(i)).bitwiseXOR(F.get("y", F.lit(i)))) for i in range(SKETCH_BITS // 64)),
-        F.lit(0),
-    )
-    close = estimate(differing) >= least_estimate(percent)
+    close = estimate("x", "y") >= least_estimate(percent)
     return pairs.join(one, "a").join(other, "b").filter(close).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+def _shingle_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, words: int, fine: bool) -> DataFrame:
+    """Full shingle sets of the given classes, from the text of one document each."""
+    places = nodes.join(classes.select("node", "first_id"), "node")
+    texts = docs.select(F.col("doc_id").alias("first_id"), "text")
+    sets = texts.join(places, "first_id").select("node", "text").mapInArrow(_sets(words, fine), SET_SCHEMA)
+    return stored(sets.dropDuplicates(["node"]), "shingle-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs that are links by their full shingle sets."""
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    places = wanted.join(classes.select("node", "first_id"), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text")
-    sets = (
-        texts.join(places, "first_id")
-        .select("node", "text")
-        .mapInArrow(_sets(words), "node binary, shingles binary")
-        .dropDuplicates(["node"])
-    )
-    sets = stored(sets, "shingle-sets")
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    joined = pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y")
+    return stored(joined.mapInArrow(_confirm(percent), "a binary, b binary"), "links")
+
+
+def _split_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of buckets that hold classes of different components, with their roots."""
+    placed = buckets.join(labels, "node", "left").select(
+        "band", "key", "node", F.coalesce("root", "node").alias("root")
     )
-    return joined.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a binary, b binary")
+    split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y")
+    return stored(placed.join(split.select("key"), "key", "left_semi"), "split-buckets")
 
 
-def _across(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a bucket's classes that lie in different components.
+def _across(split: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs p, q of a bucket's classes that lie in different components and look close.
 
     Only classes outside the bucket's largest component ask; within a component
-    there is nothing left to find.
+    there is nothing left to find.  A pair is taken from the first bucket that its
+    classes share.  The conditions are part of the join: what fails is not emitted.
     """
-    placed = buckets.join(labels, "node", "left").select(
-        "key", "node", F.coalesce("root", "node").alias("root")
-    )
-    split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y")
-    mixed = stored(placed.join(split.select("key"), "key", "left_semi"), "split-buckets")
-    parts = mixed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    parts = split.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-    sided = mixed.join(main, "key")
+    sided = split.join(main, "key").join(sketches, "node")
     asking = sided.filter(F.col("root") != F.col("main")).select(
-        "key", F.col("node").alias("p"), F.col("root").alias("p_root")
+        F.col("key").alias("p_key"),
+        F.col("node").alias("p"),
+        F.col("root").alias("p_root"),
+        F.col("fine").alias("p_fine"),
+        F.col("bands").alias("p_bands"),
+    )
+    close = estimate("p_fine", "fine", FINE_SAMPLES, FINE_BITS) >= least_estimate(percent, FINE_SAMPLES)
+    earlier = F.exists(
+        F.slice(F.zip_with("p_bands", "bands", lambda x, y: x == y), F.lit(1), F.col("band")),
+        lambda same: same,
     )
-    met = asking.join(sided, "key").filter(
-        (F.col("p_root") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("p") < F.col("node")))
+    met = asking.join(
+        sided,
+        (F.col("p_key") == F.col("key"))
+        & (F.col("p_root") != F.col("root"))
+        & ((F.col("root") == F.col("main")) | (F.col("p") < F.col("node")))
+        & close
+        & ~earlier,
+    )
+    return met.select(
+        "p",
+        F.col("node").alias("q"),
+        estimate("p_fine", "fine", FINE_SAMPLES, FINE_BITS).alias("likeness"),
     )
-    return met.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -276,7 +312,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         ),
         "classes",
     )
-    banded = classes.select("node", F.explode("bands").alias("key"))
+    banded = classes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = (
         banded.groupBy("key")
         .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"))
@@ -288,14 +324,27 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         buckets.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     )
     tested = stored(to_leader, "tested")
-    links = stored(
-        _confirmed(_estimated(tested, classes, percent), rows, classes, words, percent), "links"
-    )
+    pairs = stored(_estimated(tested, classes, percent), "pairs")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    links = _confirmed(pairs, _shingle_sets(ends.distinct(), rows, classes, words, False), percent)
     labels = components(links)
-    across = _across(buckets.select("key", "node"), labels).join(tested, ["a", "b"], "left_anti")
-    more = stored(_confirmed(_estimated(across, classes, percent), rows, classes, words, percent), "links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    sets = None
+    for closest in (CLOSEST, None):
+        split = _split_buckets(buckets.select("band", "key", "node"), labels)
+        if sets is None:
+            sets = _shingle_sets(split.select("node").distinct(), rows, classes, words, True)
+        sketches = sets.select("node", "fine").join(classes.select("node", "bands"), "node")
+        across = _across(split, sketches, percent)
+        if closest:
+            order = Window.partitionBy("p").orderBy(F.col("likeness").desc(), "q")
+            across = across.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= closest)
+        named = across.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+        fresh = stored(named.join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = _confirmed(fresh, sets, percent)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
+        tested = tested.unionByName(fresh)
     placed = classes.select("node", "first_id").join(labels, "node", "left")
     rooted = placed.select("node", "first_id", F.coalesce("root", "node").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("name"))

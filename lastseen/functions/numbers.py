@@ -46,5 +46,10 @@ def occupied_share(available: Column, total: Column) -> Column:
     return F.lit(1.0) - F.try_divide(available.cast("double"), total.cast("double"))
 
 
+def exact_mean(value: Column) -> Column:
+    """Mean of shares, summed as decimals so that the order of rows does not matter."""
+    return F.avg(value.cast("decimal(18,9)")).cast("double")
+
+
 def zero_to_null(value: Column) -> Column:
     return F.nullif(value, F.lit(0).cast("bigint"))

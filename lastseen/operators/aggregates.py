@@ -12,23 +12,27 @@ from lastseen.functions.numbers import percent, relative_change, round_to_tenth
 from lastseen.functions.times import weekday_label
 
 
+def compared_periods(today: date, days: int = 7) -> dict[str, tuple[date, date]]:
+    """First and last day of the last ``days`` full days and of those before."""
+    ends = {"current": today - timedelta(days=1), "prior": today - timedelta(days=days + 1)}
+    return {name: (last - timedelta(days=days - 1), last) for name, last in ends.items()}
+
+
 def period_over_period(
-    frame: DataFrame, key: str, day: str, measure: str, today: date, days: int = 7
+    frame: DataFrame, key: str, day: str, measure: str, periods: dict[str, tuple[date, date]]
 ) -> DataFrame:
-    """Sum of ``measure`` in the last ``days`` days against the ``days`` before.
+    """Sum of ``measure`` in the current period against the prior one.
 
     Both periods are summed in one pass; a key seen in only one of them counts
     0 in the other.
     """
-    current_from = today - timedelta(days=days)
-    prior_from = today - timedelta(days=2 * days)
-    in_current = F.col(day) >= F.lit(current_from)
+    in_current = F.col(day) >= F.lit(periods["current"][0])
 
     def total(condition):
         return F.sum(F.when(condition, F.col(measure)).otherwise(F.lit(0)))
 
     return (
-        frame.filter((F.col(day) >= F.lit(prior_from)) & (F.col(day) < F.lit(today)))
+        frame.filter(F.col(day).between(F.lit(periods["prior"][0]), F.lit(periods["current"][1])))
         .groupBy(key)
         .agg(total(in_current).alias("current"), total(~in_current).alias("prior"))
         .withColumn("abs_delta", F.col("current") - F.col("prior"))
@@ -62,7 +66,8 @@ def top_with_breakdown(
 ) -> DataFrame:
     """Groups with the ``k`` largest sums, one row per part; ties by group name.
 
-    ``frame`` holds one row per group and part, and a group has few parts.
+    ``frame`` holds one row per group and part.  The parts of a group meet in one
+    row, so ``part`` must be a column of few values, such as the operator.
     Folding the parts into their group gives the total and the breakdown in
     one pass, and the sort keeps only ``k`` groups per task.
     """

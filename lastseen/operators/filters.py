@@ -23,6 +23,9 @@ DEFAULT_DAY_RANGE = "d0-d30"
 FORWARD_SCRAPE_DAYS = 2
 SCRAPE_MARGIN_DAYS = 15
 
+# Columns a stored archive adds to the feed's.
+MONTH_COLUMN, ROUTE_COLUMN = "departure_month", "relation_key"
+
 _ISO_DAY = re.compile(r"\d{4}-\d{2}-\d{2}")
 
 
@@ -31,12 +34,12 @@ def _known(text: str | None, choices: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(item for item in picked if item in choices)
 
 
+# Hours as requests write them, with or without a leading zero.
+_HOURS = {form.format(hour): hour for hour in range(24) for form in ("{}", "{:02}")}
+
+
 def _hour(text: str | None) -> int | None:
-    try:
-        hour = int(text)
-    except (TypeError, ValueError):
-        return None
-    return hour if 0 <= hour <= 23 else None
+    return _HOURS.get(str(text).strip())
 
 
 def _day(text: str | None) -> date | None:
@@ -96,12 +99,18 @@ class FilterSpec:
             return None
         return has_product(F.col("total_seats"), F.col("bus_type"), wanted)
 
-    def place_rows(self) -> list[Column]:
-        """One relation, or the relations of a region if it is known."""
+    def place_rows(self, frame: DataFrame | None = None) -> list[Column]:
+        """One relation, or the relations of a region if it is known.
+
+        A stored archive has the lower-case name as a column, so the region's
+        routes reach the row groups.
+        """
         if self.relation:
             return [F.col("relation_name") == self.relation]
         routes = routes_of_region(self.region)
-        return [F.lower("relation_name").isin(routes)] if routes else []
+        stored = frame is not None and ROUTE_COLUMN in frame.columns
+        name = F.col(ROUTE_COLUMN) if stored else F.lower("relation_name")
+        return [name.isin(routes)] if routes else []
 
     def hub_rows(self) -> list[Column]:
         """Relations that start with a city."""
@@ -136,6 +145,21 @@ class FilterSpec:
         today = business_day(as_of)
         return today + timedelta(days=low), today + timedelta(days=high)
 
+    def in_force(self, as_of: datetime) -> dict[str, object]:
+        """The filters as they act, defaults filled in, to show next to a result."""
+        first, last = self.forward_days(as_of)
+        return {
+            "operators": list(self.operators or OPERATORS),
+            "products": list(self.products or PRODUCTS),
+            "relation": self.relation,
+            "region": None if self.relation else self.region,
+            "line_code": self.line_code,
+            "origin_hub": self.origin_hub,
+            "hours": None if not self.hour_rows() else [self.hour_from, self.hour_to],
+            "dep_from": first.isoformat(),
+            "dep_to": last.isoformat(),
+        }
+
     def past_range(self) -> tuple[date, date] | None:
         """Explicit departure range for past views; None if absent or reversed."""
         if self.dep_from and self.dep_to and self.dep_from <= self.dep_to:
@@ -152,6 +176,15 @@ def departs_between(days: tuple[date, date]) -> Column:
     return F.col("departure_date").between(F.lit(days[0]), F.lit(days[1]))
 
 
+def departs_in(frame: DataFrame, days: tuple[date, date]) -> list[Column]:
+    """Departure window, stated on the stored month too so that folders are pruned."""
+    bounds = [departs_between(days)]
+    if MONTH_COLUMN in frame.columns:
+        first, last = (day.replace(day=1) for day in days)
+        bounds.append(F.col(MONTH_COLUMN).between(F.lit(first), F.lit(last)))
+    return bounds
+
+
 def scraped_since(frame: DataFrame, as_of: datetime, days: int) -> DataFrame:
     """Sightings of the last ``days`` times 24 hours."""
     return _scraped(frame, as_of - timedelta(days=days), None)

@@ -7,7 +7,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastseen.functions.numbers import occupied_share, round_to_tenth, zero_to_null
+from lastseen.functions.numbers import (
+    exact_mean,
+    occupied_share,
+    round_to_tenth,
+    zero_to_null,
+)
 from lastseen.functions.rules import OTHER_OPERATOR, is_volvo, operator_of, product_of
 from lastseen.functions.times import (
     business_day,
@@ -19,14 +24,14 @@ from lastseen.operators.filters import (
     FORWARD_SCRAPE_DAYS,
     FilterSpec,
     departs_between,
+    departs_in,
     keep,
     scraped_since,
 )
 from lastseen.operators.latest import latest_slots, with_verdict
 from lastseen.sources.dimensions import with_line_number
 
-# Report length, label of blank services, columns of a detail row.
-DETAIL_ROW_CAP = 15_000
+# Label of blank services, columns of a detail row.
 NO_SERVICE = "(no-service)"
 DETAIL_COLUMNS = (
     "departure_date",
@@ -57,18 +62,20 @@ def latest_departures(
     as_of: datetime,
     verdicts: DataFrame | None = None,
     used: tuple[str, ...] = (),
+    scrape_days: int = FORWARD_SCRAPE_DAYS,
 ) -> DataFrame:
     """Newest sighting of each upcoming departure slot, with operator and band.
 
     All filters but the product filter act on sightings; the product filter
-    judges the newest one.  ``used`` limits the columns carried along.
+    judges the newest one.  ``used`` limits the columns carried along;
+    departures last seen more than ``scrape_days`` ago are left out.
     """
     recent = keep(
-        scraped_since(sightings, as_of, FORWARD_SCRAPE_DAYS),
+        scraped_since(sightings, as_of, scrape_days),
         [
-            departs_between(spec.forward_days(as_of)),
+            *departs_in(sightings, spec.forward_days(as_of)),
             spec.operator_rows(),
-            *spec.place_rows(),
+            *spec.place_rows(sightings),
             *spec.line_rows(),
             *spec.hour_rows(),
         ],
@@ -109,8 +116,8 @@ def detail(latest: DataFrame) -> DataFrame:
     return with_line_number(rows).select(*DETAIL_COLUMNS)
 
 
-def detail_capped(latest: DataFrame, cap: int = DETAIL_ROW_CAP) -> DataFrame:
-    """The first ``cap`` display rows in a fixed order."""
+def detail_capped(latest: DataFrame, cap: int) -> DataFrame:
+    """The first ``cap`` display rows in a fixed order, for a consumer with a limit."""
     first = [F.col(name).asc_nulls_first() for name in DETAIL_COLUMNS]
     return detail(latest).orderBy(*first).limit(cap)
 
@@ -122,7 +129,7 @@ def row_count(latest: DataFrame) -> DataFrame:
 def by_operator_hourband(latest: DataFrame) -> DataFrame:
     """Departures, seats and mean load of the single buses."""
     total = zero_to_null(F.col("total_seats"))
-    load = F.avg(occupied_share(F.col("available_seats"), total))
+    load = exact_mean(occupied_share(F.col("available_seats"), total))
     return (
         _known(latest)
         .groupBy("operator", "hour_band")
@@ -144,33 +151,45 @@ def by_day(latest: DataFrame) -> DataFrame:
     )
 
 
-def by_line(latest: DataFrame) -> DataFrame:
-    """Departures and distinct times per service, route and operator.
+LINE = ("service_id", "corridor", "operator")
+
 
-    Counting per time first spreads a service id that many departures share,
-    and leaves only distinct times to gather.
+def by_line_times(latest: DataFrame) -> DataFrame:
+    """Departures per service, route, operator and time of day, in long form.
+
+    One row per distinct time, null for a blank one: nothing is gathered, however
+    many departures share a service id.
     """
     service = F.when(F.col("service_id") != "", F.col("service_id")).otherwise(F.lit(NO_SERVICE))
     time = F.nullif(F.col("departure_time"), F.lit(""))
-    line = ("service_id", "corridor", "operator")
-    per_time = (
+    return (
         _known(latest)
         .select(
             service.alias("service_id"),
             F.col("relation_name").alias("corridor"),
             "operator",
-            time.alias("_time"),
+            time.alias("departure_time"),
         )
-        .groupBy(*line, "_time")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .groupBy(*LINE, "departure_time")
+        .agg(F.count(F.lit(1)).alias("departure_count"))
     )
+
+
+def by_line(latest: DataFrame) -> DataFrame:
+    """The same as one row per line with its times in an array.
+
+    The array holds every distinct time text of a line.  For services with an id
+    that is a handful; for feeds with free text under a blank id use
+    :func:`by_line_times`.
+    """
     return (
-        per_time.groupBy(*line)
+        by_line_times(latest)
+        .groupBy(*LINE)
         .agg(
-            F.sum("_n").alias("departure_count"),
-            F.array_sort(F.collect_list("_time")).alias("departure_times"),
+            F.sum("departure_count").alias("departure_count"),
+            F.array_sort(F.collect_list("departure_time")).alias("departure_times"),
         )
-        .orderBy(*line)
+        .orderBy(*LINE)
     )
 
 
@@ -179,14 +198,16 @@ def departures(
     spec: FilterSpec,
     as_of: datetime,
     verdicts: DataFrame | None = None,
+    scrape_days: int = FORWARD_SCRAPE_DAYS,
 ) -> dict[str, DataFrame]:
     """All forward results.  To compute several, wrap the base in ``shared``."""
-    return departure_results(latest_departures(sightings, spec, as_of, verdicts))
+    latest = latest_departures(sightings, spec, as_of, verdicts, scrape_days=scrape_days)
+    return departure_results(latest)
 
 
 def departure_results(latest: DataFrame) -> dict[str, DataFrame]:
     return {
-        "rows": detail_capped(latest),
+        "rows": detail(latest),
         "row_count": row_count(latest),
         "by_operator_hourband": by_operator_hourband(latest),
         "by_day": by_day(latest),
@@ -210,9 +231,9 @@ def latest_departures_template(
     rows = keep(
         sightings,
         [
-            departs_between(spec.forward_days(as_of)),
+            *departs_in(sightings, spec.forward_days(as_of)),
             *spec.hub_rows(),
-            *spec.place_rows(),
+            *spec.place_rows(sightings),
             *spec.service_rows(),
             *([] if products is None else [products]),
         ],
@@ -235,7 +256,7 @@ def hourband_template(latest: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("departure_count"),
             F.sum("total_seats").alias("seats_offered"),
-            F.round(F.avg(F.try_divide(taken, total)) * 100, 1).alias("avg_load_pct"),
+            F.round(exact_mean(F.try_divide(taken, total)) * 100, 1).alias("avg_load_pct"),
         )
         .orderBy("operator", "hour_band")
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lastseen.functions.rules import OTHER_OPERATOR, operator_group, operator_of
 from lastseen.functions.times import business_day
 from lastseen.operators.aggregates import (
+    compared_periods,
     period_over_period,
     seat_utilization,
     share_of_total,
@@ -30,6 +31,7 @@ from lastseen.operators.filters import (
     SCRAPE_MARGIN_DAYS,
     FilterSpec,
     departs_between,
+    departs_in,
     keep,
     scraped_around,
     scraped_on_days_since,
@@ -46,11 +48,7 @@ TOP_MOVERS = 10
 
 def compared_weeks(as_of: datetime) -> dict[str, tuple[date, date]]:
     """First and last day of the two weeks the week-over-week views compare."""
-    today = business_day(as_of)
-    return {
-        "current": (today - timedelta(days=7), today - timedelta(days=1)),
-        "prior": (today - timedelta(days=14), today - timedelta(days=8)),
-    }
+    return compared_periods(business_day(as_of))
 
 
 def past_days(as_of: datetime, days: int) -> tuple[date, date]:
@@ -71,18 +69,22 @@ def past_sightings(
     as_of: datetime,
     days: int,
     explicit_range: bool = True,
+    margin: int = SCRAPE_MARGIN_DAYS,
 ) -> DataFrame:
-    """Sightings of past departures that pass every filter but the product one."""
+    """Sightings of past departures that pass every filter but the product one.
+
+    Scrapes more than ``margin`` days outside the departure window do not count.
+    """
     if explicit_range and spec.past_range():
-        rows = scraped_around(sightings, spec.past_range())
+        rows = scraped_around(sightings, spec.past_range(), margin)
     else:
-        rows = scraped_since(sightings, as_of, days + SCRAPE_MARGIN_DAYS)
+        rows = scraped_since(sightings, as_of, days + margin)
     return keep(
         rows,
         [
-            departs_between(past_window(spec, as_of, days, explicit_range)),
+            *departs_in(sightings, past_window(spec, as_of, days, explicit_range)),
             spec.operator_rows(),
-            *spec.place_rows(),
+            *spec.place_rows(sightings),
             *spec.service_rows(),
         ],
     )
@@ -95,6 +97,7 @@ def past_services(
     days: int = HISTORY_DAYS,
     explicit_range: bool = True,
     verdicts: DataFrame | None = None,
+    margin: int = SCRAPE_MARGIN_DAYS,
 ) -> DataFrame:
     """Newest sighting per service and day, then the product filter.
 
@@ -102,7 +105,7 @@ def past_services(
     equal arguments are equal and can be ``shared``.  None of them reads the
     verdict, so it is joined only on request.
     """
-    rows = past_sightings(sightings, spec, as_of, days, explicit_range)
+    rows = past_sightings(sightings, spec, as_of, days, explicit_range, margin)
     products = spec.product_rows()
     if products is None:
         latest = latest_services(rows, "travels_name")
@@ -156,9 +159,39 @@ def top_relations(services: DataFrame, k: int = TOP_RELATIONS) -> DataFrame:
     return top_with_breakdown(counts, "relation", "operator", "departure_count", k)
 
 
-def compared_services(sightings: DataFrame, spec: FilterSpec, as_of: datetime) -> DataFrame:
+def compared_services(
+    sightings: DataFrame,
+    spec: FilterSpec,
+    as_of: datetime,
+    verdicts: DataFrame | None = None,
+    margin: int = SCRAPE_MARGIN_DAYS,
+) -> DataFrame:
     """Base of the week-over-week views, which ignore explicit ranges."""
-    return past_services(sightings, spec, as_of, COMPARED_DAYS, explicit_range=False)
+    return past_services(sightings, spec, as_of, COMPARED_DAYS, False, verdicts, margin)
+
+
+def week_counts(services: DataFrame, as_of: datetime) -> DataFrame:
+    """Departures per operator in each compared week, next to its first and last day."""
+    weeks = compared_weeks(as_of)
+    day = F.col("departure_date")
+    label = F
+    for name, (first, last) in weeks.items():
+        label = label.when(day.between(F.lit(first), F.lit(last)), F.lit(name))
+    bounds = {
+        "first_day": {name: first for name, (first, _) in weeks.items()},
+        "last_day": {name: last for name, (_, last) in weeks.items()},
+    }
+    named = daily_counts(services).withColumn("period", label).filter("period IS NOT NULL")
+    for column, of_period in bounds.items():
+        value = F
+        for name, bound in of_period.items():
+            value = value.when(F.col("period") == name, F.lit(bound))
+        named = named.withColumn(column, value)
+    return (
+        named.groupBy("period", "first_day", "last_day", "operator")
+        .agg(F.sum("departure_count").alias("departures"))
+        .orderBy("first_day", "operator")
+    )
 
 
 def week_over_week(services: DataFrame, as_of: datetime) -> DataFrame:
@@ -168,7 +201,7 @@ def week_over_week(services: DataFrame, as_of: datetime) -> DataFrame:
         "operator",
         "departure_date",
         "departure_count",
-        business_day(as_of),
+        compared_weeks(as_of),
     ).orderBy("operator")
 
 
@@ -180,7 +213,7 @@ def week_over_week_by_relation(services: DataFrame, as_of: datetime) -> DataFram
     daily = services.groupBy(F.col("relation_name").alias("relation"), "departure_date").agg(
         F.count(F.lit(1)).alias("n")
     )
-    return period_over_period(daily, "relation", "departure_date", "n", business_day(as_of))
+    return period_over_period(daily, "relation", "departure_date", "n", compared_weeks(as_of))
 
 
 def gainers(changes: DataFrame, k: int = TOP_MOVERS) -> DataFrame:
@@ -205,13 +238,17 @@ def movers(changes: DataFrame, k: int = TOP_MOVERS) -> DataFrame:
 
 
 def utilization(
-    sightings: DataFrame, spec: FilterSpec, as_of: datetime, days: int = HISTORY_DAYS
+    sightings: DataFrame,
+    spec: FilterSpec,
+    as_of: datetime,
+    days: int = HISTORY_DAYS,
+    margin: int = SCRAPE_MARGIN_DAYS,
 ) -> DataFrame:
     """Daily seat-weighted utilisation, the line operator against the rest.
 
     Only sightings with usable seat counts compete for newest.
     """
-    rows = past_sightings(sightings, spec, as_of, days).filter(
+    rows = past_sightings(sightings, spec, as_of, days, margin=margin).filter(
         (F.col("total_seats") > 0) & F.col("available_seats").isNotNull()
     )
     latest = latest_services(rows, "travels_name", "total_seats", "available_seats")
@@ -225,26 +262,38 @@ def utilization(
 
 
 def history(
-    sightings: DataFrame, spec: FilterSpec, as_of: datetime, view: str = "wow"
+    sightings: DataFrame,
+    spec: FilterSpec,
+    as_of: datetime,
+    view: str = "wow",
+    verdicts: DataFrame | None = None,
+    days: int = HISTORY_DAYS,
+    k: int | None = None,
+    margin: int = SCRAPE_MARGIN_DAYS,
 ) -> dict[str, DataFrame]:
-    """Results of one view by name; an unknown name means week over week."""
+    """Results of one view by name; an unknown name means week over week.
+
+    ``k`` is the length of the top lists.  Week-over-week views also return the
+    counts of both weeks with their bounds.
+    """
     if view == "mom":
         raise ValueError("there is no month-over-month view")
-    if view == "trend_45":
-        return {"points": trend(past_services(sightings, spec, as_of))}
-    if view == "share":
-        return {"points": share(past_services(sightings, spec, as_of))}
-    if view == "dow":
-        return {"points": weekdays(past_services(sightings, spec, as_of))}
-    if view == "top_relations":
-        return {"rows": top_relations(past_services(sightings, spec, as_of))}
     if view == "util":
-        return {"points": utilization(sightings, spec, as_of)}
-    compared = compared_services(sightings, spec, as_of)
+        return {"points": utilization(sightings, spec, as_of, days, margin)}
+    if view in ("trend_45", "share", "dow", "top_relations"):
+        services = past_services(
+            sightings, spec, as_of, days, verdicts=verdicts, margin=margin
+        )
+        if view == "top_relations":
+            return {"rows": top_relations(services, k or TOP_RELATIONS)}
+        return {"points": {"trend_45": trend, "share": share, "dow": weekdays}[view](services)}
+    compared = compared_services(sightings, spec, as_of, verdicts, margin)
+    weeks = week_counts(compared, as_of)
     if view == "wow_relation":
         changes = week_over_week_by_relation(compared, as_of)
-        return {"gainers": gainers(changes), "losers": losers(changes)}
-    return {"delta": week_over_week(compared, as_of)}
+        k = k or TOP_MOVERS
+        return {"gainers": gainers(changes, k), "losers": losers(changes, k), "weeks": weeks}
+    return {"delta": week_over_week(compared, as_of), "weeks": weeks}
 
 
 def trend_on_complete_days(
@@ -265,9 +314,9 @@ def trend_on_complete_days(
         rows,
         [
             # The day is part of the departure's key, so it can be checked first.
-            departs_between(past_days(as_of, days)),
+            *departs_in(sightings, past_days(as_of, days)),
             *spec.hub_rows(),
-            *spec.place_rows(),
+            *spec.place_rows(sightings),
             *spec.service_rows(),
             *([] if products is None else [products]),
         ],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,21 +11,22 @@ from lastseen.functions.times import business_minute_text
 from lastseen.operators.completeness import scrape_day_sizes
 from lastseen.operators.filters import FORWARD_SCRAPE_DAYS, scraped_since
 from lastseen.session import require_utc
+from lastseen.sources.archive import scrape_day
 
 # Days reported on and sightings a day needs to count as whole.
 FRESHNESS_DAYS = 60
 PARTIAL_DAY_ROWS = 50_000
 
 
-def latest_scrape(sightings: DataFrame) -> DataFrame:
+def latest_scrape(sightings: DataFrame, newest_day: date | None = None) -> DataFrame:
     """Newest scrape as business-time text, empty when there is none.
 
-    A stored archive answers from its newest partition.
+    A stored archive knows its newest scrape day (``archive.newest_scrape_day``);
+    given that day, only its partition is read.
     """
     require_utc(sightings.sparkSession)
-    if "scrape_date" in sightings.columns:
-        newest_day = sightings.select("scrape_date").agg(F.max("scrape_date")).scalar()
-        sightings = sightings.filter(F.col("scrape_date") == newest_day)
+    if newest_day is not None:
+        sightings = sightings.filter(scrape_day(sightings) >= F.lit(newest_day))
     text = business_minute_text(F.max("scrape_timestamp"))
     return sightings.agg(F.coalesce(text, F.lit("")).alias("latest"))
 
@@ -51,19 +52,30 @@ def clean_day_count(daily: DataFrame, min_rows: int = PARTIAL_DAY_ROWS) -> DataF
 
 
 def freshness(
-    sightings: DataFrame, as_of: datetime, min_rows: int = PARTIAL_DAY_ROWS
+    sightings: DataFrame,
+    as_of: datetime,
+    min_rows: int = PARTIAL_DAY_ROWS,
+    newest_day: date | None = None,
+    daily: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    daily = daily_scrape_counts(sightings, as_of)
+    """All freshness results.
+
+    Two of them come from the daily roll-up: pass ``daily_scrape_counts`` as a
+    ``shared`` frame to have it computed once.
+    """
+    daily = daily_scrape_counts(sightings, as_of) if daily is None else daily
     return {
-        "latest": latest_scrape(sightings),
+        "latest": latest_scrape(sightings, newest_day),
         "excluded": partial_days(daily, min_rows),
         "history_days": clean_day_count(daily, min_rows),
     }
 
 
-def relations(sightings: DataFrame, as_of: datetime) -> DataFrame:
+def relations(
+    sightings: DataFrame, as_of: datetime, scrape_days: int = FORWARD_SCRAPE_DAYS
+) -> DataFrame:
     """Distinct route names of the last scrapes."""
-    recent = scraped_since(sightings, as_of, FORWARD_SCRAPE_DAYS)
+    recent = scraped_since(sightings, as_of, scrape_days)
     return (
         recent.filter(F.col("relation_name").isNotNull())
         .select("relation_name")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -19,6 +18,8 @@ SETTINGS = {
     # Views are assembled from many small expressions; recording the call site
     # of each takes longer than building them.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # The default timestamp encoding keeps no statistics to skip row groups by.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
 }
 
 
@@ -40,32 +41,6 @@ def require_utc(spark: SparkSession) -> None:
         raise ValueError(f"spark.sql.session.timeZone must be UTC, not {zone}")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's checkpoint folder.
-
-    Only a local session without one gets a scratch folder of its own.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="lastseen-"))
-    return context.getCheckpointDir()
-
-
-@contextmanager
-def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """Hold a session setting at ``value``, for what has no per-write option."""
-    before = spark.conf.get(key)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 @contextmanager
 def shared(frame: DataFrame) -> Iterator[DataFrame]:
     """Keep a frame while several results are derived from it.

@@ -1,18 +1,21 @@
 """The scrape archive: raw feed schema, typed form, partitioned storage.
 
 The feed carries dates and seat counts as text.  Typing them once at ingest
-lets departure-date filters reach the parquet row groups, and partitioning by
-scrape day lets every scrape window prune folders.
+lets departure-date filters reach the parquet row groups.  Partitions by scrape
+day and by departure month let scrape and departure windows prune folders; the
+route name is stored in lower case too, so region filters are pushed down.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lastseen.functions.times import business_date, feed_date
-from lastseen.session import require_utc, setting
+from lastseen.session import require_utc
 
 RAW_INVENTORY = T.StructType(
     [
@@ -46,11 +49,25 @@ TYPED_FIELDS = {
 }
 
 
-def _typed_schema(raw: T.StructType, partition: str | None = None) -> T.StructType:
+STORED_COLUMNS = T.StructType(
+    [
+        T.StructField("relation_key", T.StringType()),
+        T.StructField("scrape_date", T.DateType()),
+        T.StructField("departure_month", T.DateType()),
+    ]
+)
+LOADS = T.StructType(
+    [
+        T.StructField("rows", T.LongType()),
+        T.StructField("first_day", T.DateType()),
+        T.StructField("last_day", T.DateType()),
+    ]
+)
+
+
+def _typed_schema(raw: T.StructType, added: T.StructType | None = None) -> T.StructType:
     fields = [T.StructField(f.name, TYPED_FIELDS.get(f.name, f.dataType)) for f in raw]
-    if partition and partition not in raw.names:
-        fields.append(T.StructField(partition, T.DateType()))
-    return T.StructType(fields)
+    return T.StructType([*fields, *(added or ())])
 
 
 def typed_inventory(raw: DataFrame) -> DataFrame:
@@ -88,10 +105,25 @@ def scrape_day(frame: DataFrame) -> Column:
     return business_date(F.col("scrape_timestamp"))
 
 
-def _write_archive(spark: SparkSession, writer: DataFrameWriter, path: str) -> None:
-    # The default timestamp encoding keeps no statistics to skip row groups by.
-    with setting(spark, "spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS"):
-        writer.parquet(path)
+def _replacing(writer: DataFrameWriter, mode: str, replace: bool) -> DataFrameWriter:
+    """Overwrite the partitions found in the batch and no others, or append."""
+    if replace:
+        return writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    return writer.mode(mode)
+
+
+def _drop_days(stored: DataFrame, path: str) -> None:
+    """Remove the folders of the scrape days in a batch, months of old loads included."""
+    jvm, spark = stored.sparkSession._jvm, stored.sparkSession
+    for (day,) in stored.select("scrape_date").distinct().collect():  # the days of one load
+        name = "__HIVE_DEFAULT_PARTITION__" if day is None else day.isoformat()
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/scrape_date={name}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _loads(path: str) -> str:
+    # A name that readers of the archive pass over.
+    return f"{path.rstrip('/')}/_loads"
 
 
 def write_inventory(
@@ -102,34 +134,65 @@ def write_inventory(
     Rebalancing splits a day that dwarfs the others into several tasks and
     merges small ones, so file sizes stay even.  ``replace_days`` rewrites the
     scrape days found in the batch and no others, so a failed load of whole
-    days can simply be repeated.
+    days can simply be repeated; the batch must not be read from the archive
+    itself.  Every load leaves a row in a small table next to the data.
     """
-    require_utc(typed.sparkSession)
+    spark = typed.sparkSession
+    require_utc(spark)
+    seen = Observation()
+    stored = typed.select(*RAW_INVENTORY.names).withColumns(
+        {
+            "relation_key": F.lower("relation_name"),
+            "scrape_date": business_date(F.col("scrape_timestamp")),
+            "departure_month": F.trunc("departure_date", "month"),
+        }
+    )
+    counted = stored.observe(
+        seen,
+        F.count(F.lit(1)).alias("rows"),
+        F.min("scrape_date").alias("first_day"),
+        F.max("scrape_date").alias("last_day"),
+    )
     writer = (
-        typed.withColumn("scrape_date", business_date(F.col("scrape_timestamp")))
-        .hint("rebalance", "scrape_date")
+        counted.hint("rebalance", "scrape_date")
         .sortWithinPartitions("scrape_date", "departure_date", "relation_name", "service_id")
-        .write.partitionBy("scrape_date")
+        .write.partitionBy("scrape_date", "departure_month")
     )
     if replace_days:
-        mode, writer = "overwrite", writer.option("partitionOverwriteMode", "dynamic")
-    _write_archive(typed.sparkSession, writer.mode(mode), path)
+        _drop_days(stored, path)
+        mode = "append"
+    writer.mode(mode).parquet(path)
+    load = seen.get
+    row = (load["rows"], load["first_day"], load["last_day"])
+    spark.createDataFrame([row], LOADS).coalesce(1).write.mode("append").parquet(_loads(path))
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     require_utc(spark)
-    return spark.read.schema(_typed_schema(RAW_INVENTORY, "scrape_date")).parquet(path)
+    return spark.read.schema(_typed_schema(RAW_INVENTORY, STORED_COLUMNS)).parquet(path)
 
 
-def write_verdicts(typed: DataFrame, path: str, mode: str = "append") -> None:
-    """Store product verdicts by departure day, the only window they are read by."""
+def newest_scrape_day(spark: SparkSession, path: str) -> date | None:
+    """Last scrape day any load brought, from the loads alone: no data is opened."""
+    loads = spark.read.schema(LOADS).parquet(_loads(path))
+    return loads.agg(F.max("last_day")).first()[0]
+
+
+def write_verdicts(
+    typed: DataFrame, path: str, mode: str = "append", replace_days: bool = False
+) -> None:
+    """Store product verdicts by departure day, the only window they are read by.
+
+    ``replace_days`` rewrites the departure days found in the batch and no
+    others, so a failed load can be repeated.
+    """
     require_utc(typed.sparkSession)
     writer = (
         typed.hint("rebalance", "departure_date")
         .sortWithinPartitions("departure_date", "relation_name", "service_id")
         .write.partitionBy("departure_date")
     )
-    _write_archive(typed.sparkSession, writer.mode(mode), path)
+    _replacing(writer, mode, replace_days).parquet(path)
 
 
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:

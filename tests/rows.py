@@ -1,5 +1,6 @@
 """Literal sightings for the semantic traps."""
 
+from contextlib import contextmanager
 from datetime import date, datetime, timezone
 
 from lastseen.sources.archive import RAW_INVENTORY, RAW_VERDICTS, typed_inventory, typed_verdicts
@@ -45,3 +46,14 @@ def verdict_archive(spark, *rows):
 def tuples(frame, *columns):
     rows = frame.select(*columns).collect() if columns else frame.collect()
     return sorted((tuple(row) for row in rows), key=repr)
+
+
+@contextmanager
+def setting(spark, key, value):
+    """Hold a session setting at a value."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -16,9 +16,10 @@ from lastseen.operators.latest import latest_services, with_verdict
 from lastseen.plans import departures as fwd
 from lastseen.plans import history as past
 from lastseen.plans import quality
-from lastseen.session import require_utc, setting, shared_folder
+from lastseen.session import require_utc
 from lastseen.sources.archive import (
     RAW_INVENTORY,
+    newest_scrape_day,
     read_inventory,
     read_verdicts,
     scrape_day,
@@ -34,7 +35,7 @@ from lastseen.sources.dimensions import (
     with_region,
 )
 from tests.conftest import SF_DIRS
-from tests.rows import AS_OF, archive, at, sighting, tuples, verdict_archive
+from tests.rows import AS_OF, archive, at, setting, sighting, tuples, verdict_archive
 from verification import fixtures
 from verification.queries import QUERIES
 
@@ -49,13 +50,18 @@ def plan(frame) -> str:
 
 
 @pytest.fixture(scope="module")
-def stored(spark):
-    return fixtures.inventory(spark, SF_DIRS["small"])
+def folder(spark, tmp_path_factory):
+    return fixtures.ingest(spark, SF_DIRS["small"], str(tmp_path_factory.mktemp("archive")))
 
 
 @pytest.fixture(scope="module")
-def stored_verdicts(spark):
-    return fixtures.verdicts(spark, SF_DIRS["small"])
+def stored(spark, folder):
+    return fixtures.inventory(spark, folder)
+
+
+@pytest.fixture(scope="module")
+def stored_verdicts(spark, folder):
+    return fixtures.verdicts(spark, folder)
 
 
 def test_round_trip_keeps_every_row(spark, tmp_path):
@@ -69,7 +75,9 @@ def test_round_trip_keeps_every_row(spark, tmp_path):
     path = str(tmp_path / "inventory")
     write_inventory(rows, path)
     back = read_inventory(spark, path)
-    assert tuples(back.drop("scrape_date")) == tuples(rows)
+    assert tuples(back, *rows.columns) == tuples(rows)
+    assert tuples(back, "departure_month") == [(None,)] + [(date(2026, 6, 1),)] * 3
+    assert newest_scrape_day(spark, path) == date(2026, 6, 1)
     days = [date(2026, 5, 31), date(2026, 6, 1), date(2026, 6, 1), None]
     assert {row[0] for row in tuples(back, "scrape_date")} == set(days)
     write_inventory(rows.limit(1), path)
@@ -83,6 +91,18 @@ def test_a_load_of_whole_days_can_be_repeated(spark, tmp_path):
     for batch in (monday, tuesday, tuesday):
         write_inventory(batch, path, replace_days=True)
     assert tuples(read_inventory(spark, path), "service_id") == [("mon",), ("tue",), ("tue2",)]
+    # A repeated load that lacks a departure month leaves none of the old one behind.
+    july = archive(spark, sighting(service_id="tue3", departure_date="03-Jul-2026"))
+    write_inventory(july, path, replace_days=True)
+    assert tuples(read_inventory(spark, path), "service_id") == [("mon",), ("tue3",)]
+
+
+def test_a_load_of_verdicts_can_be_repeated(spark, tmp_path):
+    path = str(tmp_path / "verdicts")
+    rows = [(at(1), "a to b", f"{day}-Jun-2026", "s1", "seater") for day in (3, 4)]
+    for batch in (rows[:1], rows[1:], rows[1:]):
+        write_verdicts(verdict_archive(spark, *batch), path, replace_days=True)
+    assert read_verdicts(spark, path).count() == 2
 
 
 def test_stored_columns_have_statistics_to_skip_by(stored):
@@ -142,13 +162,13 @@ def test_json_results_show_iso_dates_and_nulls(spark, tmp_path):
 
 def test_a_dominant_scrape_day_is_split_over_files(spark, tmp_path, stored):
     """Most sightings on one day still end up in evenly sized files."""
-    hot = stored.drop("scrape_date").withColumn(
+    hot = stored.withColumn(
         "scrape_timestamp",
         F.when(F.col("service_id") > "svc-3", F.lit(AS_OF)).otherwise(F.col("scrape_timestamp")),
     )
     with setting(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes", "32k"):
         write_inventory(hot, str(tmp_path / "hot"))
-    files = list((tmp_path / "hot" / "scrape_date=2026-06-01").glob("*.parquet"))
+    files = list((tmp_path / "hot" / "scrape_date=2026-06-01").glob("*/*.parquet"))
     assert len(files) > 1
     assert read_inventory(spark, str(tmp_path / "hot")).count() == stored.count()
 
@@ -159,10 +179,6 @@ def test_library_refuses_other_session_zones(spark):
             require_utc(spark)
 
 
-def test_shared_folder_is_stable(spark):
-    assert shared_folder(spark) == shared_folder(spark)
-
-
 def test_dimensions():
     assert len(ROUTE_REGIONS) == 72 and len(set(ROUTE_REGIONS.values())) == 11
     assert len(LINE_CODES) == 150 == len(set(LINE_CODES.values()))
@@ -275,10 +291,53 @@ def test_a_catalog_table_works_like_a_path(spark, tmp_path, stored):
         spark.sql("DROP TABLE stored_inventory")
 
 
-def test_newest_scrape_is_read_from_the_newest_partition(stored):
-    assert re.search(r"PartitionFilters: \[.*scrape_date#\d+ = .*[Ss]ubquery", plan(
-        quality.latest_scrape(stored)
-    ))
+def test_newest_scrape_opens_the_newest_partition_only(spark, folder, stored):
+    day = newest_scrape_day(spark, f"{folder}/inventory")
+    frame = quality.latest_scrape(stored, day)
+    text = plan(frame)
+    assert text.count("Scan parquet") == 2  # tree and details of one scan
+    assert re.search(rf"PartitionFilters: \[[^\]]*scrape_date#\d+ >= {day}", text)
+    assert tuples(frame) == tuples(quality.latest_scrape(stored))
+
+
+def test_template_scans_prune_departure_months(stored):
+    spec = FilterSpec(origin_hub="Delhi", products=("Sleeper",))
+    for frame in (
+        fwd.latest_departures_template(stored, spec, AS_OF),
+        past.past_services(stored, EVERYTHING, AS_OF),
+    ):
+        assert re.search(r"PartitionFilters: \[[^\]]*departure_month#\d+ >= 2026", plan(frame))
+
+
+def test_region_filter_reaches_the_scan(stored):
+    text = plan(fwd.latest_departures(stored, FilterSpec(region="IN01"), AS_OF))
+    assert re.search(r"PushedFilters: \[.*In\(relation_key", text)
+
+
+def test_building_queries_starts_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    for build in QUERIES.values():
+        build(spark, SF_DIRS["small"])
+    assert len(tracker.getJobIdsForGroup(None)) == before
+
+
+def test_stored_and_lazy_queries_agree(spark, folder):
+    for name in ("departures_detail", "trend_by_region", "hourband_template", "share", "by_line"):
+        lazy, stored = (QUERIES[name](spark, place) for place in (SF_DIRS["small"], folder))
+        assert tuples(lazy) == tuples(stored), name
+
+
+@pytest.mark.parametrize("name", ["by_operator_hourband", "hourband_template"])
+def test_mean_load_does_not_depend_on_row_order(spark, monkeypatch, name):
+    lazy, results = fixtures.inventory, []
+    for partitions in (1, 64):
+        monkeypatch.setattr(
+            "verification.queries.inventory",
+            lambda s, d, n=partitions: lazy(s, d).repartition(n, F.rand(n)),
+        )
+        results.append(tuples(QUERIES[name](spark, SF_DIRS["small"])))
+    assert results[0] == results[1]
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -405,14 +405,14 @@ def test_shares_add_up_and_weeks_cover_the_trend(spark):
 @pytest.mark.parametrize(
     ("view", "names"),
     [
-        ("wow", {"delta"}),
+        ("wow", {"delta", "weeks"}),
         ("trend_45", {"points"}),
         ("share", {"points"}),
         ("dow", {"points"}),
         ("top_relations", {"rows"}),
-        ("wow_relation", {"gainers", "losers"}),
+        ("wow_relation", {"gainers", "losers", "weeks"}),
         ("util", {"points"}),
-        ("anything else", {"delta"}),
+        ("anything else", {"delta", "weeks"}),
     ],
 )
 def test_history_by_view_name(spark, view, names):
@@ -422,6 +422,37 @@ def test_history_by_view_name(spark, view, names):
     assert all(frame.count() > 0 for frame in results.values())
 
 
+def test_history_passes_its_arguments_on(spark):
+    rows = archive(
+        spark, *(past_sighting(20 + n, service_id=f"s{n}", relation_name=f"r{n}") for n in range(8))
+    )
+    assert past.history(rows, EVERYTHING, AS_OF, "top_relations", k=2)["rows"].count() == 2
+    assert past.history(rows, EVERYTHING, AS_OF, "trend_45", days=5)["points"].count() == 1
+    weeks = past.history(rows, EVERYTHING, AS_OF)["weeks"]
+    assert tuples(weeks) == [
+        ("current", date(2026, 5, 25), date(2026, 5, 31), "flix", 3),
+        ("prior", date(2026, 5, 18), date(2026, 5, 24), "flix", 5),
+    ]
+
+
+def test_blank_service_times_stay_in_long_form(spark):
+    """Most departures share the blank id; no row gathers their times."""
+    base = forward(
+        spark,
+        *(sighting(service_id="", departure_time=f"{n % 24:02}:{n % 60:02}") for n in range(300)),
+        sighting(),
+    )
+    lines = fwd.by_line_times(base)
+    assert lines.filter("service_id = '(no-service)'").count() == 120
+    assert lines.agg(F.sum("departure_count")).first()[0] == base.count()
+
+
+def test_filters_in_force_fill_in_defaults():
+    shown = FilterSpec(region="IN01", hour_from=3).in_force(AS_OF)
+    assert shown["operators"][0] == "flix" and shown["hours"] is None
+    assert (shown["dep_from"], shown["dep_to"], shown["region"]) == ("2026-06-01", "2026-07-01", "IN01")
+
+
 def test_there_is_no_month_over_month_view(spark):
     with pytest.raises(ValueError):
         past.history(archive(spark), EVERYTHING, AS_OF, "mom")

@@ -6,13 +6,12 @@ the check queries start from the same rows.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lastseen.session import shared_folder
+from lastseen.functions.times import business_date
 from lastseen.sources.archive import (
     read_inventory,
     read_verdicts,
@@ -82,47 +81,43 @@ FROM {bus_inventory} WHERE is_seater OR is_sleeper
 """
 
 
+LINEITEM = (
+    "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_returnflag string, l_linestatus string"
+)
+
+
 def raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    # With its schema given, reading the table starts no job.
+    lineitem = spark.read.schema(LINEITEM).parquet(f"{sf_dir}/lineitem.parquet")
     return spark.sql(INVENTORY_SQL, lineitem=lineitem)
 
 
-def _stored(spark: SparkSession, sf_dir: str, name: str) -> str:
-    source = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{source}/{name}"
+class ArchiveFolder(str):
+    """A folder that holds the driver table as a stored archive (see ``ingest``)."""
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, load: Callable[[str], DataFrame]):
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _LOADED:
-        _LOADED[key] = load(_stored(spark, sf_dir, name))
-    return _LOADED[key]
+def ingest(spark: SparkSession, sf_dir: str, folder: str) -> ArchiveFolder:
+    """Type and store the driver table below ``folder``, which the caller removes."""
+    write_inventory(typed_inventory(raw_inventory(spark, sf_dir)), f"{folder}/inventory", "overwrite")
+    write_verdicts(typed_verdicts(raw_verdicts(spark, sf_dir)), f"{folder}/verdicts", "overwrite")
+    return ArchiveFolder(folder)
 
 
-_LOADED: dict[tuple[str, str, str], DataFrame] = {}
+def raw_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(VERDICT_SQL, bus_inventory=raw_inventory(spark, sf_dir))
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored archive, written on first use in an application.
-
-    Views read an archive that was typed and partitioned when it was ingested,
-    so the checks and timings do too.
-    """
-
-    def load(path: str) -> DataFrame:
-        write_inventory(typed_inventory(raw_inventory(spark, sf_dir)), path, mode="overwrite")
-        return read_inventory(spark, path)
-
-    return _once(spark, sf_dir, "inventory", load)
+    """The driver table as typed sightings: a lazy plan, nothing is stored."""
+    if isinstance(sf_dir, ArchiveFolder):
+        return read_inventory(spark, f"{sf_dir}/inventory")
+    typed = typed_inventory(raw_inventory(spark, sf_dir))
+    return typed.withColumn("scrape_date", business_date(F.col("scrape_timestamp")))
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored product verdicts."""
-
-    def load(path: str) -> DataFrame:
-        raw = spark.sql(VERDICT_SQL, bus_inventory=raw_inventory(spark, sf_dir))
-        write_verdicts(typed_verdicts(raw), path, mode="overwrite")
-        return read_verdicts(spark, path)
-
-    return _once(spark, sf_dir, "verdicts", load)
+    if isinstance(sf_dir, ArchiveFolder):
+        return read_verdicts(spark, f"{sf_dir}/verdicts")
+    return typed_verdicts(raw_verdicts(spark, sf_dir))

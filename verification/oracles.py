@@ -1,13 +1,12 @@
 """DuckDB SQL for every query, written out from the semantics.
 
 Product filters are spelled as three-valued SQL here, and rounding uses the
-engine's own functions, so the checks do not share code with the library.
+engine's own functions, so the checks do not share rules with the library.  Only
+the two constant lookup tables are taken from it.
 """
 
 from __future__ import annotations
 
-from lastseen.functions.rules import OPERATOR_RULES
-from lastseen.functions.times import HOUR_BANDS
 from lastseen.sources.dimensions import LINE_CODES, ROUTE_REGIONS
 from verification.fixtures import INVENTORY_SQL, VERDICT_SQL
 
@@ -31,12 +30,14 @@ enr AS (
   FROM bus_verdicts)
 """
 
-def name_rule(wanted: str, excluded: str | None) -> str:
-    rule = f"contains(lower(travels_name), '{wanted}')"
-    return f"({rule} AND NOT contains(lower(travels_name), '{excluded}'))" if excluded else rule
-
-
-NAME_RULES = {label: name_rule(wanted, excluded) for label, wanted, excluded in OPERATOR_RULES}
+NAME_RULES = {
+    "flix": "lower(travels_name) LIKE '%flix%'",
+    "intrcity": "lower(travels_name) LIKE '%intrcity%'",
+    "zingbus": "(lower(travels_name) LIKE '%zingbus%' AND NOT lower(travels_name) LIKE '%maxx%')",
+    "nuego": "lower(travels_name) LIKE '%nuego%'",
+    "freshbus": "lower(travels_name) LIKE '%freshbus%'",
+    "laxmi": "(lower(travels_name) LIKE '%laxmi holidays%' AND NOT lower(travels_name) LIKE '%pvt%')",
+}
 ANY_OPERATOR = "(" + " OR ".join(NAME_RULES.values()) + ")"
 OPERATOR = (
     "CASE " + " ".join(f"WHEN {rule} THEN '{name}'" for name, rule in NAME_RULES.items())
@@ -69,11 +70,10 @@ LEADING_HOUR = "TRY_CAST(substr(departure_time, 1, 2) AS BIGINT)"
 
 
 def band(hour: str) -> str:
-    ranges = (
-        f"WHEN {hour} BETWEEN {6 * n} AND {6 * n + 5} THEN '{name}'"
-        for n, name in enumerate(HOUR_BANDS)
-    )
-    return f"CASE {' '.join(ranges)} ELSE 'unknown' END"
+    return f"""CASE WHEN {hour} BETWEEN 0 AND 5 THEN '00:00-05:59'
+  WHEN {hour} BETWEEN 6 AND 11 THEN '06:00-11:59'
+  WHEN {hour} BETWEEN 12 AND 17 THEN '12:00-17:59'
+  WHEN {hour} BETWEEN 18 AND 23 THEN '18:00-23:59' ELSE 'unknown' END"""
 
 
 def values(pairs: dict[str, str]) -> str:
@@ -189,7 +189,7 @@ PER_RELATION = """per_relation AS (
   FROM svc WHERE operator <> 'other' GROUP BY relation_name, operator)"""
 TOP = """SELECT relation, total, operator, departure_count
 FROM (SELECT relation_name AS relation, CAST(sum(departure_count) AS BIGINT) AS total
-  FROM per_relation GROUP BY relation_name ORDER BY total DESC, relation LIMIT 10) AS top
+  FROM per_relation GROUP BY relation_name ORDER BY total DESC, relation LIMIT 3) AS top
 JOIN per_relation ON per_relation.relation_name = top.relation"""
 RELATION_DAILY = """relation_daily AS (
   SELECT relation_name AS relation, departure_date, count(DISTINCT service_id) AS n
@@ -217,6 +217,12 @@ UTILIZATION = """SELECT departure_date,
     AS util_pct
 FROM svc GROUP BY 1, 2"""
 MOVERS = (past(14), RELATION_DAILY, weeks("relation", "relation_daily", "n"))
+GAINERS, LOSERS = (
+    f"""SELECT * FROM (
+  SELECT *, CAST(row_number() OVER (ORDER BY pct_delta {direction}, relation) AS INTEGER) AS rank
+  FROM changes WHERE pct_delta IS NOT NULL) WHERE rank <= 3"""
+    for direction in ("DESC", "ASC")
+)
 TREND = "SELECT departure_date, operator, departure_count FROM daily"
 
 # ---- archive quality ----
@@ -308,7 +314,10 @@ LEFT JOIN ({NEWEST_VERDICT}) USING (relation_name, departure_date, service_id)""
     ),
     "departures_detail": sql(DETAIL, forward(), LINES),
     "departures_detail_capped": sql(
-        f"SELECT * FROM ({DETAIL}) ORDER BY {DETAIL_ORDER} LIMIT 15000", forward(), LINES
+        f"""SELECT *, CAST(row_number() OVER (ORDER BY {DETAIL_ORDER}) AS INTEGER) AS rank
+FROM ({DETAIL}) ORDER BY rank LIMIT 1000""",
+        forward(),
+        LINES,
     ),
     "departures_row_count": sql("SELECT count(*) AS row_count_raw FROM fwd", forward()),
     "departures_with_enriched": sql(
@@ -334,6 +343,14 @@ GROUP BY ALL""",
 FROM fwd WHERE operator <> 'other' GROUP BY 1, 2, 3""",
         forward(),
     ),
+    "by_line_times": sql(
+        """SELECT CASE WHEN service_id IS NULL OR service_id = '' THEN '(no-service)'
+    ELSE service_id END AS service_id,
+  relation_name AS corridor, operator, nullif(departure_time, '') AS departure_time,
+  count(*) AS departure_count
+FROM fwd WHERE operator <> 'other' GROUP BY 1, 2, 3, 4""",
+        forward(),
+    ),
     "filter_operator": sql(
         BY_DAY, forward(operators=f"({NAME_RULES['zingbus']} OR {NAME_RULES['laxmi']})")
     ),
@@ -361,7 +378,12 @@ FROM fwd WHERE operator <> 'other' GROUP BY 1, 2, 3""",
     "hourband_template": template(),
     "filter_origin_hub": template("starts_with(lower(relation_name), lower('Delhi'))"),
     "product_before_dedup": template(f"({PRODUCT_SQL['Sleeper']} OR {PRODUCT_SQL['Hybrid']})"),
-    "trend_daily": sql(TREND, past(45), DAILY),
+    "trend_daily": sql(
+        f"""SELECT *, CAST(row_number() OVER (ORDER BY departure_date, operator) AS INTEGER) AS rank
+FROM ({TREND})""",
+        past(45),
+        DAILY,
+    ),
     "trend_by_product": sql(TREND, past(45, after=PRODUCT_SQL["Sleeper"]), DAILY),
     "history_range_trend": sql(
         TREND,
@@ -413,24 +435,25 @@ FROM (SELECT *, isodow(departure_date) AS isodow FROM daily) GROUP BY operator,
         "SELECT * FROM changes", past(14), DAILY, weeks("operator", "daily", "departure_count")
     ),
     "wow_relation": sql("SELECT * FROM changes", *MOVERS),
-    "wow_gainers": sql(
-        """SELECT * FROM changes WHERE pct_delta IS NOT NULL
-ORDER BY pct_delta DESC, relation LIMIT 10""",
-        *MOVERS,
-    ),
-    "wow_losers": sql(
-        """SELECT * FROM changes WHERE pct_delta IS NOT NULL
-ORDER BY pct_delta, relation LIMIT 10""",
-        *MOVERS,
-    ),
+    "wow_gainers": sql(GAINERS, *MOVERS),
+    "wow_losers": sql(LOSERS, *MOVERS),
     "wow_movers": sql(
-        """(SELECT *, 'gainer' AS direction FROM changes WHERE pct_delta IS NOT NULL
-  ORDER BY pct_delta DESC, relation LIMIT 10)
-UNION ALL
-(SELECT *, 'loser' AS direction FROM changes WHERE pct_delta IS NOT NULL
-  ORDER BY pct_delta, relation LIMIT 10)""",
+        f"""SELECT *, 'gainer' AS direction FROM ({GAINERS})
+UNION ALL SELECT *, 'loser' AS direction FROM ({LOSERS})""",
         *MOVERS,
     ),
+    "wow_weeks": sql(
+        """SELECT CASE WHEN departure_date >= DATE '2026-05-25' THEN 'current' ELSE 'prior' END
+    AS period,
+  CASE WHEN departure_date >= DATE '2026-05-25' THEN DATE '2026-05-25'
+    ELSE DATE '2026-05-18' END AS first_day,
+  CASE WHEN departure_date >= DATE '2026-05-25' THEN DATE '2026-05-31'
+    ELSE DATE '2026-05-24' END AS last_day,
+  operator, CAST(sum(departure_count) AS BIGINT) AS departures
+FROM daily GROUP BY 1, 2, 3, 4""",
+        past(14),
+        DAILY,
+    ),
     "wow_by_operator": sql(
         "SELECT * FROM changes",
         past(14, f"({NAME_RULES['intrcity']} OR {NAME_RULES['nuego']})"),
@@ -455,7 +478,11 @@ FROM inv WHERE {ON_CLEAN} GROUP BY ALL""",
         """SELECT COALESCE(strftime(max(scrape_timestamp) + INTERVAL '330' MINUTE,
   '%Y-%m-%d %H:%M'), '') AS latest FROM inv"""
     ),
-    "daily_scrape_counts": sql("SELECT * FROM days", SCRAPE_DAYS),
+    "daily_scrape_counts": sql(
+        """SELECT *, CAST(row_number() OVER (ORDER BY scrape_date DESC) AS INTEGER) AS rank
+FROM days""",
+        SCRAPE_DAYS,
+    ),
     "partial_days": sql(
         """SELECT scrape_date AS date, n AS rows, 'only ' || format('{:,}', n) || ' rows' AS reason
 FROM days WHERE n < 800""",
@@ -465,7 +492,8 @@ FROM days WHERE n < 800""",
         "SELECT count(*) AS history_days FROM days WHERE n >= 800", SCRAPE_DAYS
     ),
     "relations": sql(
-        f"SELECT DISTINCT relation_name FROM inv WHERE {RECENT} AND relation_name IS NOT NULL"
+        f"""SELECT *, CAST(row_number() OVER (ORDER BY relation_name) AS INTEGER) AS rank
+FROM (SELECT DISTINCT relation_name FROM inv WHERE {RECENT} AND relation_name IS NOT NULL)"""
     ),
     "relation_count": sql(
         f"SELECT count(DISTINCT relation_name) AS count FROM inv WHERE {RECENT}"

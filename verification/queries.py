@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lastseen.functions.rules import (
@@ -37,10 +37,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 EVERYTHING = FilterSpec()
 EXPLICIT_RANGE = FilterSpec(dep_from=date(2026, 5, 4), dep_to=date(2026, 5, 24))
 FORWARD_RANGE = FilterSpec(dep_from=date(2026, 5, 30), dep_to=date(2026, 6, 9))
-# The fixture archive is smaller than a real one, and so are its thresholds.
+# The fixture archive is smaller than a real one, and so are its thresholds.  The
+# partial-day limit lies inside the range of day sizes at the check's scale; at
+# larger scales nearly every day exceeds it.
 FULL_DAY_ROWS = 500
 FULL_DAY_SPAN = 29
 PARTIAL_ROWS = 800
+# Short enough that the lists leave routes and departures out.
+TOP, REPORT_ROWS = 3, 1000
 
 QUERIES: dict[str, Query] = {}
 
@@ -50,6 +54,13 @@ def query(build: Query) -> Query:
     return build
 
 
+def _ranked(frame: DataFrame, *within: str) -> DataFrame:
+    """Number the rows of a sorted report, so that its order is compared too."""
+    placed = frame.withColumn("_at", F.monotonically_increasing_id())
+    order = Window.partitionBy(*within).orderBy("_at")
+    return placed.withColumn("rank", F.row_number().over(order)).drop("_at")
+
+
 def _count(frame: DataFrame, *columns: str) -> DataFrame:
     return frame.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
 
@@ -177,7 +188,7 @@ def departures_detail(spark, sf_dir):
 
 @query
 def departures_detail_capped(spark, sf_dir):
-    return fwd.detail_capped(_forward(spark, sf_dir))
+    return _ranked(fwd.detail_capped(_forward(spark, sf_dir), REPORT_ROWS))
 
 
 @query
@@ -223,6 +234,11 @@ def by_line(spark, sf_dir):
     return lines.withColumn("departure_times", F.array_join("departure_times", "|"))
 
 
+@query
+def by_line_times(spark, sf_dir):
+    return fwd.by_line_times(_counted(spark, sf_dir))
+
+
 @query
 def filter_operator(spark, sf_dir):
     spec = FilterSpec(operators=("zingbus", "laxmi"))
@@ -298,7 +314,7 @@ def _compared(spark, sf_dir, spec=EVERYTHING):
 
 @query
 def trend_daily(spark, sf_dir):
-    return past.trend(_past(spark, sf_dir))
+    return _ranked(past.trend(_past(spark, sf_dir)))
 
 
 @query
@@ -346,12 +362,13 @@ def relation_operator_counts(spark, sf_dir):
 
 @query
 def top_relations(spark, sf_dir):
-    return past.top_relations(_past(spark, sf_dir))
+    return past.top_relations(_past(spark, sf_dir), TOP)
 
 
 @query
 def top_relations_by_product(spark, sf_dir):
-    return past.top_relations(_past(spark, sf_dir, FilterSpec(products=("Seater", "Hybrid"))))
+    spec = FilterSpec(products=("Seater", "Hybrid"))
+    return past.top_relations(_past(spark, sf_dir, spec), TOP)
 
 
 @query
@@ -370,19 +387,28 @@ def wow_relation(spark, sf_dir):
     return past.week_over_week_by_relation(_compared(spark, sf_dir), AS_OF)
 
 
+def _changes(spark, sf_dir):
+    return past.week_over_week_by_relation(_compared(spark, sf_dir), AS_OF)
+
+
 @query
 def wow_gainers(spark, sf_dir):
-    return past.gainers(past.week_over_week_by_relation(_compared(spark, sf_dir), AS_OF))
+    return _ranked(past.gainers(_changes(spark, sf_dir), TOP))
 
 
 @query
 def wow_losers(spark, sf_dir):
-    return past.losers(past.week_over_week_by_relation(_compared(spark, sf_dir), AS_OF))
+    return _ranked(past.losers(_changes(spark, sf_dir), TOP))
 
 
 @query
 def wow_movers(spark, sf_dir):
-    return past.movers(past.week_over_week_by_relation(_compared(spark, sf_dir), AS_OF))
+    return _ranked(past.movers(_changes(spark, sf_dir), TOP), "direction")
+
+
+@query
+def wow_weeks(spark, sf_dir):
+    return past.week_counts(_compared(spark, sf_dir), AS_OF)
 
 
 @query
@@ -437,7 +463,7 @@ def freshness_latest(spark, sf_dir):
 
 @query
 def daily_scrape_counts(spark, sf_dir):
-    return quality.daily_scrape_counts(inventory(spark, sf_dir), AS_OF)
+    return _ranked(quality.daily_scrape_counts(inventory(spark, sf_dir), AS_OF))
 
 
 @query
@@ -454,7 +480,7 @@ def clean_day_count(spark, sf_dir):
 
 @query
 def relations(spark, sf_dir):
-    return quality.relations(inventory(spark, sf_dir), AS_OF)
+    return _ranked(quality.relations(inventory(spark, sf_dir), AS_OF))
 
 
 @query

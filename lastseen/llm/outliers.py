@@ -64,7 +64,11 @@ CUTOFF = chi_square_quantile(1 - TAIL, _D)
 
 
 def text_statistics(docs: DataFrame, *carried: str) -> DataFrame:
-    """The contract's counts of each text, with the carried columns."""
+    """The contract's counts of each text, with the carried columns.
+
+    Store the result before filtering it: a filter pushed into these expressions
+    would evaluate them once for every element of their arrays.
+    """
     text = text_of()
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit(SPACES)) != "")
     word = lambda i, k: F.get(F.col("__words"), i + k)
@@ -235,7 +239,9 @@ def judged(statistics: DataFrame) -> DataFrame:
     fewer too, nothing is known about them and they are kept.
     """
     own = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
-    vectors = with_vector(statistics).withColumn("own", own)
+    # Stored first: filters must not be pushed into the expressions over the texts,
+    # and the texts are read once.
+    vectors = with_vector(stored(statistics, "text-statistics")).withColumn("own", own)
     sizes = vectors.filter(~F.col("base_failed")).groupBy("own").agg(F.count(F.lit(1)).alias("n_own"))
     units = stored(
         sizes.select(
@@ -258,8 +264,7 @@ def judged(statistics: DataFrame) -> DataFrame:
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    statistics = stored(text_statistics(docs, "doc_id", "lang", "source"), "text-statistics")
-    return judged(statistics).select(
+    return judged(text_statistics(docs, "doc_id", "lang", "source")).select(
         "doc_id",
         "n_words",
         "word_chars",

@@ -222,6 +222,27 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels of the components after more links a, b.
+
+    Only the graph of the components themselves is walked again.
+    """
+    of_a = labels.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    ends = stored(
+        more.join(of_a, "a", "left")
+        .join(of_b, "b", "left")
+        .select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b")),
+        "links",
+    )
+    between = ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).filter("a != b").distinct()
+    raised = components(between).withColumnsRenamed({"node": "of", "root": "to"})
+    sides = [ends.select(F.col(n).alias("node"), F.col(f"root_{n}").alias("root")) for n in ("a", "b")]
+    known = labels.unionByName(sides[0]).unionByName(sides[1]).distinct()
+    joined = known.join(raised, F.col("root") == F.col("of"), "left")
+    return stored(joined.select("node", F.coalesce("to", "root").alias("root")), "labels")
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b whose odd sketches do not rule a link out."""
     sketches = classes.select("node", "sketch")
@@ -342,8 +363,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         fresh = stored(named.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = _confirmed(fresh, sets, percent)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
+            labels = merged(labels, more)
         tested = tested.unionByName(fresh)
     placed = classes.select("node", "first_id").join(labels, "node", "left")
     rooted = placed.select("node", "first_id", F.coalesce("root", "node").alias("root"))

@@ -126,6 +126,21 @@ def test_lines_on_many_sites_go_but_copies_stay(spark):
     assert out[60]["text"] is None and out[61]["text"] == notice
 
 
+def test_boilerplate_leaves_pages_it_dominates_and_copies_keep_their_lines(spark):
+    notice = [prose(5, 24), prose(6, 20)]
+    article = [prose(100 + k, 30) for k in range(10)]
+    # Pages the notice dominates, and no other page has it.
+    rows = [(i, "\n".join([prose(200 + i, 14), *notice]), f"s{i % 6}") for i in range(12)]
+    # Copies with another word each, so that nine lines of ten are on six sources.
+    rows += [(50 + i, "\n".join([*article[:i], f"{article[i]} x{i}", *article[i + 1 :], notice[0]]), f"s{i}") for i in range(6)]
+    rows += [(70 + i, "\n".join(notice), f"s{i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r["doc_id"]: r for r in line_dedup.without_boilerplate(docs).collect()}
+    assert all(out[i]["text"] == prose(200 + i, 14) and out[i]["n_removed"] == 2 for i in range(12))
+    assert all(out[i]["n_removed"] == 1 and out[i]["text"] == t.rsplit("\n", 1)[0] for i, t, _ in rows[12:18])
+    assert all(out[i]["n_removed"] == 0 and out[i]["text"] == t for i, t, _ in rows[18:])
+
+
 def test_lines_on_awkward_and_empty(spark):
     docs = awkward(spark)
     out = line_dedup.without_boilerplate(docs)

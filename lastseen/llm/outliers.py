@@ -39,6 +39,8 @@ SCALE = 1000
 BULK, STEPS, TAIL = 0.75, 4, 1e-6
 #: Groups below this size are estimated together.
 FEWEST_DOCUMENTS = 100
+#: Unit of all documents, by which a small pool is judged if its language is small too.
+EVERY = "every"
 
 _NAMES = tuple(STATISTICS)
 _D = len(_NAMES)
@@ -230,28 +232,62 @@ def robust_moments(vectors: DataFrame) -> DataFrame:
     return moments
 
 
+def _with_lenders(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``units`` with the pooled groups under a unit of their language or of everything.
+
+    Also these units with the language they stand for; there are fewer than
+    ``FEWEST_DOCUMENTS``, as each has a document in the pool.
+    """
+    languages = units.groupBy(F.col("__lang").alias("of")).agg(F.sum("n_own").alias("n_lang"))
+    named = F.concat(F.lit("lang "), F.to_json(F.struct("__lang"), {"ignoreNullFields": "false"}))
+    lender = F.when(F.col("n_lang") >= FEWEST_DOCUMENTS, named).otherwise(F.lit(EVERY))
+    moved = stored(
+        units.join(languages, F.col("__lang").eqNullSafe(F.col("of"))).select(
+            "__own", "__lang", F.when(F.col("unit") == "", lender).otherwise(F.col("unit")).alias("unit")
+        ),
+        "mcd-units",
+    )
+    lent = moved.filter(~F.col("unit").startswith("{")).select(
+        F.col("unit").alias("lent_unit"), F.when(F.col("unit") != EVERY, F.col("__lang")).alias("lent_lang")
+    )
+    return moved, lent.distinct()
+
+
 def judged(statistics: DataFrame) -> DataFrame:
     """Add ``distance`` (squared) and ``kept`` to rows of ``text_statistics``.
 
     The rows have the columns lang and source, which may be null.  Documents that
     fail the base rules take no part in the estimates and are not kept.  Groups of
     fewer than ``FEWEST_DOCUMENTS`` are estimated together; if all of these are
-    fewer too, nothing is known about them and they are kept.
+    fewer too, they are judged by their language, or by all documents if that has as
+    few.  Of fewer documents in all nothing is known, and they are kept.
     """
     own = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
     # Stored first: filters must not be pushed into the expressions over the texts,
     # and the texts are read once.
     vectors = with_vector(stored(statistics, "text-statistics")).withColumn("own", own)
-    sizes = vectors.filter(~F.col("base_failed")).groupBy("own").agg(F.count(F.lit(1)).alias("n_own"))
+    sizes = vectors.filter(~F.col("base_failed")).groupBy("own", "lang").agg(F.count(F.lit(1)).alias("n_own"))
     units = stored(
         sizes.select(
             F.col("own").alias("__own"),
+            F.col("lang").alias("__lang"),
+            "n_own",
             F.when(F.col("n_own") >= FEWEST_DOCUMENTS, F.col("own")).otherwise(F.lit("")).alias("unit"),
         ),
         "mcd-units",
     )
-    placed = vectors.join(units, F.col("own") == F.col("__own"), "left")
-    clean = placed.filter(~F.col("base_failed")).select("unit", *_NAMES)
+    pooled = units.filter("unit = ''").agg(F.sum("n_own")).first()[0] or 0
+    lent = None
+    if 0 < pooled < FEWEST_DOCUMENTS:
+        units, lent = _with_lenders(units)
+    placed = vectors.join(units.select("__own", "unit"), F.col("own") == F.col("__own"), "left")
+    clean = placed.filter(~F.col("base_failed")).select("unit", "lang", *_NAMES)
+    if lent is not None:
+        own_units = clean.filter(F.col("unit").startswith("{")).select("unit", *_NAMES)
+        lending = (F.col("lent_unit") == EVERY) | F.col("lang").eqNullSafe(F.col("lent_lang"))
+        borrowed = clean.join(F.broadcast(lent), lending).select(F.col("lent_unit").alias("unit"), *_NAMES)
+        clean = own_units.unionByName(borrowed)
+    clean = clean.select("unit", *_NAMES)
     counts = clean.groupBy("unit").agg(F.count(F.lit(1)).alias("n_unit"))
     known = stored(counts.filter(F.col("n_unit") >= FEWEST_DOCUMENTS), "mcd-known")
     moments = robust_moments(clean.join(known.select("unit"), "unit", "left_semi"))

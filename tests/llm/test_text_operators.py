@@ -178,6 +178,17 @@ def test_outliers_match_plain_mcd(spark):
     assert all(judged[900 + i]["kept"] for i in range(5)) and not judged[999]["kept"]
 
 
+def test_a_small_pool_is_judged_by_its_language_or_by_all(spark):
+    marked = lambda k: " ".join(f"{w}$%&" for w in prose(k, 60).split())
+    rows = [(i, prose(i, 30 + i % 40), "en", "a") for i in range(150)]
+    rows += [(500 + i, prose(900 + i, 50), ("en", "fr", None)[i % 3], f"few{i}") for i in range(9)]
+    rows += [(600 + i, marked(i), ("en", "fr", None)[i % 3], f"odd{i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    judged = outliers.judged(outliers.text_statistics(docs, "doc_id", "lang", "source")).collect()
+    assert len(judged) == len(rows) and all(r["distance"] is not None for r in judged)
+    assert {r["doc_id"] for r in judged if not r["kept"]} == {600 + i for i in range(6)}
+
+
 def test_outliers_do_not_depend_on_row_order(spark):
     docs = documents(spark)
     one = outliers.judged(outliers.text_statistics(docs, "doc_id", "lang", "source"))

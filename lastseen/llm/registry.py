@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 import corpus_pipeline
 from lastseen.llm.byte_pair import op10_byte_bpe
+from lastseen.llm.conversation_repair import op11_conversation_repair
 from lastseen.llm.line_dedup import OP7_SQL, op7_line_dedup
 from lastseen.llm.mixing import OP4_SQL, op4_mixing
 from lastseen.llm.near_dup import OP2_SQL, op2_near_dup
@@ -29,10 +30,11 @@ QUERIES: dict[str, Callable[..., DataFrame]] = {
     "op8_exact_topk": op8_exact_topk,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_conversation_repair": op11_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
 
-#: Operators 1, 3, 5, 6, 9 and 10 and the pipeline are checked against brute force.
+#: Operators 1, 3, 5, 6 and 9 to 11 and the pipeline are checked against brute force.
 ORACLES: dict[str, str] = {
     "op2_near_dup": OP2_SQL,
     "op4_mixing": OP4_SQL,

@@ -1,0 +1,207 @@
+"""Conversation repair against plain search over every sequence of edits."""
+
+import hashlib
+import re
+import zlib
+from itertools import product
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import types as T
+
+from lastseen.llm.conversation_repair import (
+    BLANK,
+    DUPLICATE,
+    SOUND,
+    TRUNCATED,
+    audits,
+    cheapest_audit,
+    op11_conversation_repair,
+    repaired,
+)
+
+SCHEMA = T.StructType(
+    [
+        T.StructField("conv_id", T.LongType()),
+        T.StructField("turn", T.LongType()),
+        T.StructField("role", T.StringType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("audit", T.StringType()),
+        T.StructField("is_turn", T.StringType()),
+    ]
+)
+
+
+def plain_audit(initials, faults):
+    """Least (cost, audit) by trying everything, one edit string longer at a time."""
+    best, todo = None, [(0, "", 0, "")]
+    most = 2 * len(initials)  # deleting all turns is always possible
+    while todo:
+        cost, audit, i, written = todo.pop()
+        if cost > most or (best and cost > best[0]):
+            continue
+        if i == len(initials) and re.fullmatch("(s?(ua)+)?", written):
+            best = min(best or (cost, audit), (cost, audit))
+        for role in "ua":
+            todo.append((cost + 5, audit + "I", i, written + role))
+        if i == len(initials):
+            continue
+        todo.append((cost + 2, audit + "D", i + 1, written))
+        if faults[i] in (SOUND, TRUNCATED):
+            extra = 5 * (faults[i] == TRUNCATED)
+            todo.append((cost + extra, audit + "K", i + 1, written + initials[i]))
+            for role in "ua":
+                todo.append((cost + extra + 1, audit + "R", i + 1, written + role))
+    return best
+
+
+def plain_dp(initials, faults):
+    """Least suffix (cost, audit) per place, from the end; quicker than trying everything."""
+    after = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+    table = {q: ((0, "") if q in ("", "a") else (10**9, "")) for q in after}
+
+    def inserts(table):
+        for _ in range(4):
+            for q in after:
+                for role, to in after[q].items():
+                    if role in "ua":
+                        cost, audit = table[to]
+                        table[q] = min(table[q], (cost + 5, "I" + audit))
+        return table
+
+    table = inserts(table)
+    for initial, fault in reversed(list(zip(initials, faults))):
+        now = {}
+        for q in after:
+            cost, audit = table[q]
+            options = [(cost + 2, "D" + audit)]
+            if fault in (SOUND, TRUNCATED):
+                extra = 5 * (fault == TRUNCATED)
+                for role, to in after[q].items():
+                    cost, audit = table[to]
+                    if role == initial:
+                        options.append((cost + extra, "K" + audit))
+                    if role in "ua":
+                        options.append((cost + extra + 1, "R" + audit))
+            now[q] = min(options)
+        table = inserts(now)
+    return table[""]
+
+
+def test_all_short_conversations_by_trying_everything():
+    for length in range(4):
+        for initials in product("suax", repeat=length):
+            for faults in product((SOUND, BLANK, TRUNCATED), repeat=length):
+                assert cheapest_audit("".join(initials), bytes(faults)) == plain_audit(initials, faults)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("suax"), st.sampled_from((SOUND, SOUND, BLANK, DUPLICATE, TRUNCATED))), max_size=40))
+def test_longer_conversations_by_suffix_tables(turns):
+    initials, faults = "".join(t[0] for t in turns), bytes(t[1] for t in turns)
+    assert cheapest_audit(initials, faults) == plain_dp(initials, faults)
+
+
+def test_a_conversation_of_many_turns():
+    initials = "su" + "ausuaa" * 5_000
+    assert cheapest_audit(initials, bytes(len(initials))) == plain_dp(initials, bytes(len(initials)))
+
+
+def plain_rows(rows):
+    """Contract result by plain loops over the given (conv_id, turn, role, text) rows."""
+    groups = {}
+    for conv, turn, role, text in rows:
+        group = groups.setdefault(conv, [])
+        role, text = " " if role is None else role, " " if text is None else text
+        key = f"{' ' if conv is None else conv}:{' ' if turn is None else turn}"
+        dealt = zlib.crc32(key.encode()) % 20
+        if dealt == 0:
+            continue
+        text = "" if dealt == 1 else re.sub("[.!?]", "", text) if dealt == 2 else text
+        role = "user" if dealt == 4 else role
+        group += [(turn, role, text)] * (2 if dealt == 3 else 1)
+    result = []
+    for conv, group in groups.items():
+        group.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+        numbers = [r[0] for r in group if r[0] is not None]
+        gaps = max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0
+        faults, seen = [], set()
+        for _, role, text in group:
+            said = re.findall(r"[^\x20\x09-\x0D]", text)
+            faults.append(
+                BLANK
+                if not said
+                else DUPLICATE
+                if (role, text) in seen
+                else SOUND
+                if said[-1] in ".!?"
+                else TRUNCATED
+            )
+            seen.add((role, text))
+        initials = [role[:1] or " " for _, role, _ in group]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+        cost, audit = plain_dp(initials, faults)
+        written, turns = [], iter(group)
+        for edit in audit:
+            role, text = ("", "") if edit == "I" else next(turns)[1:]
+            if edit in "RI":
+                role = "assistant" if written and written[-1][0][:1] == "u" else "user"
+            if edit != "D":
+                written.append((role, text))
+        joined = "\n".join(f"{role}:{text}" for role, text in written)
+        counts = (faults.count(kind) for kind in (BLANK, DUPLICATE, TRUNCATED))
+        digest = hashlib.sha256(joined.encode()).hexdigest()
+        result.append((conv, gaps, *counts, illegal, cost, audit, digest))
+    return sorted(result, key=repr)
+
+
+COLUMNS = (
+    "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+    "repaired_sha256",
+)
+
+
+def collected(frame):
+    return sorted((tuple(row) for row in frame.select(*COLUMNS).collect()), key=repr)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_on_the_given_tables(spark, sf):
+    rows = spark.read.parquet(f"/root/testdata/{sf}/conversations.parquet")
+    expected = plain_rows([tuple(r) for r in rows.select("conv_id", "turn", "role", "text").collect()])
+    assert collected(op11_conversation_repair(spark, f"/root/testdata/{sf}")) == expected
+
+
+def awkward_turns():
+    rows = [
+        (1, 0, "user", "Same?"), (1, 0, "user", "Same?"), (1, None, "system", "First."),
+        (2, None, None, None), (2, 3, "assistant", "x" * 200_000), (2, 9, "tool", "Done!\n "),
+        (None, 1, "user", "No id."), (None, 2, "assistant", "None at all."), (3, 5, "", "odd."),
+        (4, 1, "user", "🙂!"), (4, 1, "assistant", "tie."), (4, 2, "user", "\x85"),
+        (2**60 + 1, 0, "user", "a."), (2**60, 0, "user", "b."),
+    ]
+    rows += [(conv, turn, ("user", "assistant")[turn % 2], f"{conv} {turn}.") for conv in range(10, 60) for turn in range(4)]
+    rows += [(7, turn, "user", "again.") for turn in range(300)]
+    return [(*row, "x", "y") for row in rows]
+
+
+def test_awkward_and_empty_tables(spark, tmp_path):
+    rows = awkward_turns()
+    spark.createDataFrame(rows, SCHEMA).repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    result = collected(op11_conversation_repair(spark, str(tmp_path)))
+    assert result == plain_rows([row[:4] for row in rows])
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/none/conversations.parquet")
+    assert collected(op11_conversation_repair(spark, f"{tmp_path}/none")) == []
+
+
+def test_repaired_turns_follow_the_grammar(spark):
+    rows = spark.createDataFrame(awkward_turns(), SCHEMA)
+    judged = audits(rows)
+    by_conv = {}
+    for row in repaired(rows, judged).collect():
+        by_conv.setdefault(row.conv_id, []).append((row.position, row.role, row.edit))
+    for turns in by_conv.values():
+        turns.sort()
+        assert [t[0] for t in turns] == list(range(len(turns)))
+        assert re.fullmatch("s?(ua)+", "".join(t[1][0] for t in turns))

@@ -16,6 +16,7 @@ from lastseen.llm.outliers import op9_quality_rules
 from lastseen.llm.personal_data import op1_personal_data
 from lastseen.llm.prefix_free import op5_suffix_dedup
 from lastseen.llm.quality_model import op3_quality_model
+from lastseen.llm.spelling_variants import op13_spelling_variants
 from lastseen.llm.token_files import op6_token_files
 from lastseen.llm.topk import OP8_SQL, op8_exact_topk
 
@@ -31,10 +32,11 @@ QUERIES: dict[str, Callable[..., DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
-#: Operators 1, 3, 5, 6 and 9 to 11 and the pipeline are checked against brute force.
+#: Operators 1, 3, 5, 6 and 9 to 13 and the pipeline are checked against brute force.
 ORACLES: dict[str, str] = {
     "op2_near_dup": OP2_SQL,
     "op4_mixing": OP4_SQL,

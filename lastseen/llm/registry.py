@@ -16,6 +16,7 @@ from lastseen.llm.outliers import op9_quality_rules
 from lastseen.llm.personal_data import op1_personal_data
 from lastseen.llm.prefix_free import op5_suffix_dedup
 from lastseen.llm.quality_model import op3_quality_model
+from lastseen.llm.site_style import op12_site_style
 from lastseen.llm.spelling_variants import op13_spelling_variants
 from lastseen.llm.token_files import op6_token_files
 from lastseen.llm.topk import OP8_SQL, op8_exact_topk
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[..., DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_site_style": op12_site_style,
     "op13_spelling_variants": op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }

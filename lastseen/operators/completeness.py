@@ -33,6 +33,18 @@ def complete_days(
     )
 
 
+def complete_among(
+    sizes: DataFrame,
+    min_rows: int = COMPLETE_DAY_ROWS,
+    min_span: int = COMPLETE_DAY_SPAN,
+) -> DataFrame:
+    """:func:`complete_days` from sizes known per day (``layers.day_sizes``)."""
+    ahead = F.date_diff("last_departure", "first_departure")
+    return sizes.select(
+        "scrape_date", F.col("n").alias("day_n"), ahead.alias("day_span")
+    ).filter((F.col("day_n") >= min_rows) & (F.col("day_span") >= min_span))
+
+
 def on_days(sightings: DataFrame, days: DataFrame) -> DataFrame:
     """Sightings scraped on one of ``days``.
 

@@ -204,6 +204,16 @@ def scraped_around(
     return _scraped(frame, first - timedelta(days=margin), last + timedelta(days=margin))
 
 
+def scrape_end(
+    spec: FilterSpec, margin: int = SCRAPE_MARGIN_DAYS
+) -> datetime | None:
+    """Instant the scrape window of past views ends at; None if it has no end."""
+    days = spec.past_range()
+    if days is None:
+        return None
+    return datetime.combine(days[1], time(), timezone.utc) + timedelta(days=margin)
+
+
 def _scraped(frame: DataFrame, low: datetime, high: datetime | None) -> DataFrame:
     # The day bounds follow from the instants; stating them prunes partitions.
     bounds = [F.col("scrape_timestamp") >= F.lit(low)]

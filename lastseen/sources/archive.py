@@ -8,6 +8,7 @@ route name is stored in lower case too, so region filters are pushed down.
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, SparkSession
@@ -112,13 +113,21 @@ def _replacing(writer: DataFrameWriter, mode: str, replace: bool) -> DataFrameWr
     return writer.mode(mode)
 
 
-def _drop_days(stored: DataFrame, path: str) -> None:
-    """Remove the folders of the scrape days in a batch, months of old loads included."""
-    jvm, spark = stored.sparkSession._jvm, stored.sparkSession
-    for (day,) in stored.select("scrape_date").distinct().collect():  # the days of one load
-        name = "__HIVE_DEFAULT_PARTITION__" if day is None else day.isoformat()
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/scrape_date={name}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def _swap_days(spark: SparkSession, staged: str, path: str) -> None:
+    """Put the scrape days of a staged load in the place of theirs, months included."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source = hadoop.Path(staged)
+    files = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(source):
+        day = status.getPath().getName()
+        if not day.startswith("scrape_date="):
+            continue
+        target, aside = hadoop.Path(f"{path}/{day}"), hadoop.Path(f"{staged}/_before-{day}")
+        if files.exists(target) and not files.rename(target, aside):
+            raise OSError(f"{target} cannot be moved")
+        if not files.rename(status.getPath(), target):
+            raise OSError(f"{status.getPath()} cannot be moved")
+    files.delete(source, True)
 
 
 def _loads(path: str) -> str:
@@ -134,8 +143,10 @@ def write_inventory(
     Rebalancing splits a day that dwarfs the others into several tasks and
     merges small ones, so file sizes stay even.  ``replace_days`` rewrites the
     scrape days found in the batch and no others, so a failed load of whole
-    days can simply be repeated; the batch must not be read from the archive
-    itself.  Every load leaves a row in a small table next to the data.
+    days can simply be repeated.  It is written aside first and then moved into
+    place day by day: a write that fails leaves the old days as they are.  For
+    loads that appear in one step see ``layers.load_days``.  Every load leaves a
+    row in a small table next to the data.
     """
     spark = typed.sparkSession
     require_utc(spark)
@@ -159,9 +170,12 @@ def write_inventory(
         .write.partitionBy("scrape_date", "departure_month")
     )
     if replace_days:
-        _drop_days(stored, path)
-        mode = "append"
-    writer.mode(mode).parquet(path)
+        # A name that readers of the archive pass over.
+        staged = f"{path.rstrip('/')}/_staged-{uuid.uuid4().hex}"
+        writer.parquet(staged)
+        _swap_days(spark, staged, path.rstrip("/"))
+    else:
+        writer.mode(mode).parquet(path)
     load = seen.get
     row = (load["rows"], load["first_day"], load["last_day"])
     spark.createDataFrame([row], LOADS).coalesce(1).write.mode("append").parquet(_loads(path))

@@ -7,6 +7,7 @@ from datetime import date
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lastseen import FilterSpec
@@ -97,6 +98,21 @@ def test_a_load_of_whole_days_can_be_repeated(spark, tmp_path):
     assert tuples(read_inventory(spark, path), "service_id") == [("mon",), ("tue3",)]
 
 
+def test_a_repeated_load_that_fails_leaves_the_old_days(spark, tmp_path):
+    path = str(tmp_path / "inventory")
+    write_inventory(archive(spark, sighting(service_id="old")), path)
+    name = F.when(F.col("service_id") == "new7", F.raise_error(F.lit("feed broke off")))
+    batch = archive(spark, *(sighting(service_id=f"new{n}") for n in range(10))).repartition(10)
+    with pytest.raises(PySparkException):
+        broken = batch.withColumn("travels_name", name.otherwise(F.col("travels_name")))
+        write_inventory(broken, path, replace_days=True)
+    assert tuples(read_inventory(spark, path), "service_id") == [("old",)]
+    # The batch may even be made from the days it replaces.
+    again = read_inventory(spark, path).withColumn("travels_name", F.lit("NueGo"))
+    write_inventory(again, path, replace_days=True)
+    assert tuples(read_inventory(spark, path), "service_id", "travels_name") == [("old", "NueGo")]
+
+
 def test_a_load_of_verdicts_can_be_repeated(spark, tmp_path):
     path = str(tmp_path / "verdicts")
     rows = [(at(1), "a to b", f"{day}-Jun-2026", "s1", "seater") for day in (3, 4)]

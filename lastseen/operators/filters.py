@@ -147,7 +147,15 @@ class FilterSpec:
 
     def in_force(self, as_of: datetime) -> dict[str, object]:
         """The filters as they act, defaults filled in, to show next to a result."""
-        first, last = self.forward_days(as_of)
+        return self._echo(*self.forward_days(as_of))
+
+    def in_force_past(self, as_of: datetime, days: int) -> dict[str, object]:
+        """The same for past views: the explicit range, else the last ``days``."""
+        today = business_day(as_of)
+        last_days = (today - timedelta(days=days), today - timedelta(days=1))
+        return self._echo(*(self.past_range() or last_days))
+
+    def _echo(self, first: date, last: date) -> dict[str, object]:
         return {
             "operators": list(self.operators or OPERATORS),
             "products": list(self.products or PRODUCTS),

@@ -58,13 +58,18 @@ def latest_slots(sightings: DataFrame, *used: str) -> DataFrame:
     return latest_by(kept, SLOT_KEY, ties)
 
 
-def latest_services(sightings: DataFrame, *used: str) -> DataFrame:
-    """Newest sighting per service and day, of sightings that name both."""
+def latest_services(
+    sightings: DataFrame, *used: str, carried: Sequence[str] = ()
+) -> DataFrame:
+    """Newest sighting per service and day, of sightings that name both.
+
+    ``carried`` are further columns to keep, which must depend on the key alone.
+    """
     ties = ties_through(*used)
     # The time of day decides last, so it is needed only next to all the rest.
     extra = () if used else ("departure_time",)
     kept = sightings.filter(has_identity()).select(
-        "scrape_timestamp", *SERVICE_KEY, *ties, *extra
+        "scrape_timestamp", *SERVICE_KEY, *ties, *extra, *carried
     )
     return latest_by(kept, SERVICE_KEY, (*ties, *extra))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lastseen.functions.numbers import (
@@ -122,6 +123,38 @@ def detail_capped(latest: DataFrame, cap: int) -> DataFrame:
     return detail(latest).orderBy(*first).limit(cap)
 
 
+#: Columns that tell any two display rows apart, in the order of pages.
+PAGE_KEY = DETAIL_COLUMNS[:5]
+
+
+def detail_page(latest: DataFrame, size: int, after: Mapping[str, object] | None = None) -> DataFrame:
+    """The ``size`` display rows that follow a row, in the order of :func:`detail_capped`.
+
+    ``after`` holds the :data:`PAGE_KEY` of the last row of the page before.  Rows up to it
+    are dropped before anything is sorted, and its departure date reaches the scan.  Pages
+    of a base that does not change join to exactly :func:`detail`.
+    """
+    rows = detail(latest)
+    if after is not None:
+        rows = rows.filter(_follows(after))
+    return rows.orderBy(*(F.col(name).asc_nulls_first() for name in PAGE_KEY)).limit(size)
+
+
+def _follows(key: Mapping[str, object]) -> Column:
+    """Rows after ``key`` in ascending order, nulls first."""
+    later, same = F.lit(False), F.lit(True)
+    for name in PAGE_KEY:
+        value = F.lit(key[name])
+        above = F.col(name).isNotNull() if key[name] is None else F.col(name) > value
+        later = later | (same & F.coalesce(above, F.lit(False)))
+        same = same & F.col(name).eqNullSafe(value)
+    first = PAGE_KEY[0]
+    if key[first] is None:
+        return later
+    # Implied by the rest; on its own it is pushed down.
+    return (F.col(first) >= F.lit(key[first])) & later
+
+
 def row_count(latest: DataFrame) -> DataFrame:
     return latest.agg(F.count(F.lit(1)).alias("row_count_raw"))
 
@@ -182,9 +215,12 @@ def by_line(latest: DataFrame) -> DataFrame:
     that is a handful; for feeds with free text under a blank id use
     :func:`by_line_times`.
     """
+    return _lines(by_line_times(latest))
+
+
+def _lines(times: DataFrame) -> DataFrame:
     return (
-        by_line_times(latest)
-        .groupBy(*LINE)
+        times.groupBy(*LINE)
         .agg(
             F.sum("departure_count").alias("departure_count"),
             F.array_sort(F.collect_list("departure_time")).alias("departure_times"),
@@ -193,6 +229,72 @@ def by_line(latest: DataFrame) -> DataFrame:
     )
 
 
+#: Views of one pass, by the columns they group by.
+ONE_PASS = {
+    "row_count": (),
+    "by_operator_hourband": ("operator", "hour_band"),
+    "by_day": ("date", "operator"),
+    "by_line": (*LINE, "departure_time"),
+}
+
+
+def in_one_pass(latest: DataFrame) -> DataFrame:
+    """The counting results of the forward view together, told apart by ``view``.
+
+    One aggregation over grouping sets: the base is read and deduplicated once, whoever
+    takes which result.  Columns a view does not group by are null, and so are seats in all
+    but the view by band.  The row count is of all departures, the others of known
+    operators.  :func:`one_pass_results` splits it.
+    """
+    total = zero_to_null(F.col("total_seats"))
+    service = F.when(F.col("service_id") != "", F.col("service_id")).otherwise(F.lit(NO_SERVICE))
+    known = F.col("operator") != OTHER_OPERATOR
+    rows = latest.select(
+        known.alias("known"),
+        "operator",
+        "hour_band",
+        F.col("departure_date").alias("date"),
+        service.alias("service_id"),
+        F.col("relation_name").alias("corridor"),
+        F.nullif(F.col("departure_time"), F.lit("")).alias("departure_time"),
+        "total_seats",
+        occupied_share(F.col("available_seats"), total).alias("load"),
+    )
+    columns = ("operator", "hour_band", "date", "service_id", "corridor", "departure_time")
+    sets = [["known", *names] for names in ONE_PASS.values()]
+    counted = rows.groupingSets(sets, "known", *columns).agg(
+        F.grouping_id().alias("_set"),
+        F.count(F.lit(1)).alias("departure_count"),
+        F.coalesce(F.sum("total_seats"), F.lit(0)).alias("seats_offered"),
+        round_to_tenth(exact_mean(F.col("load")) * 100).alias("avg_load_pct"),
+    )
+    view = F
+    for name, names in ONE_PASS.items():
+        # A bit per column, set if the view does not group by it; the first is ``known``.
+        bits = "0" + "".join("0" if column in names else "1" for column in columns)
+        view = view.when(F.col("_set") == int(bits, 2), F.lit(name))
+    named = counted.withColumn("view", view).filter(F.col("known") | (F.col("view") == "row_count"))
+    seated = F.col("view") == "by_operator_hourband"
+    seats = {name: F.when(seated, F.col(name)) for name in ("seats_offered", "avg_load_pct")}
+    return named.withColumns(seats).drop("known", "_set")
+
+
+def one_pass_results(views: DataFrame) -> dict[str, DataFrame]:
+    """The results of :func:`in_one_pass` by name; to take several, wrap it in ``shared``."""
+    of = {name: views.filter(F.col("view") == name) for name in ONE_PASS}
+    seats = ("departure_count", "seats_offered", "avg_load_pct")
+    return {
+        "row_count": of["row_count"].agg(
+            F.coalesce(F.sum("departure_count"), F.lit(0)).alias("row_count_raw")
+        ),
+        "by_operator_hourband": of["by_operator_hourband"]
+        .select("operator", "hour_band", *seats)
+        .orderBy("operator", "hour_band"),
+        "by_day": of["by_day"].select("date", "operator", "departure_count").orderBy("date", "operator"),
+        "by_line": _lines(of["by_line"].select(*LINE, "departure_time", "departure_count")),
+    }
+
+
 def departures(
     sightings: DataFrame,
     spec: FilterSpec,

@@ -6,6 +6,7 @@ out of later scrapes when they sell out, so a single scrape under-counts.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame
@@ -21,6 +22,7 @@ from lastseen.operators.aggregates import (
     top_with_breakdown,
     weekday_profile,
 )
+from lastseen.operators.bitmaps import bitmaps_of, distinct_counts, holds_bitmaps
 from lastseen.operators.completeness import (
     COMPLETE_DAY_ROWS,
     COMPLETE_DAY_SPAN,
@@ -98,27 +100,49 @@ def past_services(
     explicit_range: bool = True,
     verdicts: DataFrame | None = None,
     margin: int = SCRAPE_MARGIN_DAYS,
+    carried: Sequence[str] = (),
 ) -> DataFrame:
     """Newest sighting per service and day, then the product filter.
 
     The base of trend, share, weekday profile and relation counts: frames for
     equal arguments are equal and can be ``shared``.  None of them reads the
-    verdict, so it is joined only on request.
+    verdict, so it is joined only on request.  ``carried`` columns are kept;
+    they must depend on the service alone, like its number in the newest layer.
     """
     rows = past_sightings(sightings, spec, as_of, days, explicit_range, margin)
     products = spec.product_rows()
     if products is None:
-        latest = latest_services(rows, "travels_name")
+        latest = latest_services(rows, "travels_name", carried=carried)
     else:
-        latest = latest_services(rows, "travels_name", "bus_type", "total_seats").filter(products)
+        used = ("travels_name", "bus_type", "total_seats")
+        latest = latest_services(rows, *used, carried=carried).filter(products)
     if verdicts is not None:
         window = past_window(spec, as_of, days, explicit_range)
         latest = with_verdict(latest, verdicts.filter(departs_between(window)))
     return latest.withColumn("operator", operator_of(F.col("travels_name")))
 
 
+def service_days(services: DataFrame, number: str = "service_no") -> DataFrame:
+    """Bitmaps of the services per departure day, route and operator.
+
+    ``services`` is :func:`past_services` with ``number`` carried.  Trend, share, weekday
+    profile, route counts and week over week by operator take the result in its place, and
+    :func:`services_between` counts any window of its days.
+    """
+    known = services.filter(F.col("operator") != OTHER_OPERATOR)
+    return bitmaps_of(known, number, "departure_date", "relation_name", "operator")
+
+
+def services_between(days: DataFrame, first: date, last: date, *groups: str) -> DataFrame:
+    """Distinct services of a window of :func:`service_days`, by operator or other groups."""
+    inside = days.filter(departs_between((first, last)))
+    return distinct_counts(inside, *(groups or ("operator",)), name="services")
+
+
 def daily_counts(services: DataFrame) -> DataFrame:
     """Distinct services per day and operator."""
+    if holds_bitmaps(services):
+        return distinct_counts(services, "departure_date", "operator", name="departure_count")
     return (
         services.filter(F.col("operator") != OTHER_OPERATOR)
         .groupBy("departure_date", "operator")
@@ -146,6 +170,8 @@ def weekdays(services: DataFrame) -> DataFrame:
 
 def relation_operator_counts(services: DataFrame) -> DataFrame:
     """Distinct services per route and operator over the whole window."""
+    if holds_bitmaps(services):
+        return distinct_counts(services, "relation_name", "operator", name="departure_count")
     return (
         services.filter(F.col("operator") != OTHER_OPERATOR)
         .groupBy("relation_name", "operator")
@@ -243,10 +269,12 @@ def utilization(
     as_of: datetime,
     days: int = HISTORY_DAYS,
     margin: int = SCRAPE_MARGIN_DAYS,
+    verdicts: DataFrame | None = None,
 ) -> DataFrame:
     """Daily seat-weighted utilisation, the line operator against the rest.
 
-    Only sightings with usable seat counts compete for newest.
+    Only sightings with usable seat counts compete for newest.  ``verdicts`` are joined
+    on request like in :func:`past_services`; the sums do not read them.
     """
     rows = past_sightings(sightings, spec, as_of, days, margin=margin).filter(
         (F.col("total_seats") > 0) & F.col("available_seats").isNotNull()
@@ -255,6 +283,9 @@ def utilization(
     products = spec.product_rows()
     if products is not None:
         latest = latest.filter(products)
+    if verdicts is not None:
+        window = past_window(spec, as_of, days)
+        latest = with_verdict(latest, verdicts.filter(departs_between(window)))
     grouped = latest.withColumn("operator_group", operator_group(F.col("travels_name")))
     return seat_utilization(
         grouped, ("departure_date", "operator_group"), "total_seats", "available_seats"
@@ -279,7 +310,7 @@ def history(
     if view == "mom":
         raise ValueError("there is no month-over-month view")
     if view == "util":
-        return {"points": utilization(sightings, spec, as_of, days, margin)}
+        return {"points": utilization(sightings, spec, as_of, days, margin, verdicts)}
     if view in ("trend_45", "share", "dow", "top_relations"):
         services = past_services(
             sightings, spec, as_of, days, verdicts=verdicts, margin=margin
@@ -303,10 +334,11 @@ def trend_on_complete_days(
     min_rows: int = COMPLETE_DAY_ROWS,
     min_span: int = COMPLETE_DAY_SPAN,
     days: int = HISTORY_DAYS,
+    margin: int = SCRAPE_MARGIN_DAYS,
 ) -> DataFrame:
     """Older trend rules: only complete scrape days count, the product filter
     acts before the newest sighting is taken, and slots are counted."""
-    window = days + SCRAPE_MARGIN_DAYS
+    window = days + margin
     complete = complete_days(scraped_since(sightings, as_of, window), min_rows, min_span)
     rows = on_days(scraped_on_days_since(sightings, as_of, window), complete)
     products = spec.product_rows()

@@ -84,5 +84,7 @@ def relations(
     )
 
 
-def relation_count(sightings: DataFrame, as_of: datetime) -> DataFrame:
-    return relations(sightings, as_of).agg(F.count(F.lit(1)).alias("count"))
+def relation_count(
+    sightings: DataFrame, as_of: datetime, scrape_days: int = FORWARD_SCRAPE_DAYS
+) -> DataFrame:
+    return relations(sightings, as_of, scrape_days).agg(F.count(F.lit(1)).alias("count"))

@@ -9,6 +9,7 @@ route name is stored in lower case too, so region filters are pushed down.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, SparkSession
@@ -82,6 +83,38 @@ def typed_inventory(raw: DataFrame) -> DataFrame:
     )
 
 
+#: Text of a typed row that did not parse, by column; null if all did.
+UNPARSED = "unparsed"
+
+
+def typed_with_unparsed(raw: DataFrame) -> DataFrame:
+    """:func:`typed_inventory` with the text that became null kept in a map."""
+    before = raw.withColumns({f"_{name}": F.col(name) for name in TYPED_FIELDS})
+    typed = typed_inventory(before)
+    lost = F.map_filter(
+        F.create_map(*(c for name in TYPED_FIELDS for c in (F.lit(name), F.col(f"_{name}")))),
+        lambda _, text: text.isNotNull(),
+    )
+    parsed = F.create_map(
+        *(c for name in TYPED_FIELDS for c in (F.lit(name), F.col(name).isNotNull()))
+    )
+    lost = F.map_filter(lost, lambda name, _: ~F.element_at(parsed, name))
+    kept = typed.withColumn(UNPARSED, F.when(F.size(lost) > 0, lost))
+    return kept.drop(*(f"_{name}" for name in TYPED_FIELDS))
+
+
+def rejected(typed: DataFrame) -> DataFrame:
+    """Rows of :func:`typed_with_unparsed` whose text did not parse, each with the reason."""
+    reason = F.concat_ws(", ", F.array_sort(F.map_keys(UNPARSED)))
+    return typed.filter(F.col(UNPARSED).isNotNull()).withColumn("reason", reason)
+
+
+def json_rows(frame: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """A result as lines of JSON: dates in ISO form, nulls visible, columns in order."""
+    row = F.struct(*(columns or frame.columns))
+    return frame.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("row"))
+
+
 def typed_verdicts(raw: DataFrame) -> DataFrame:
     return raw.withColumn("departure_date", feed_date(F.col("departure_date")))
 

@@ -20,10 +20,17 @@ from lastseen.operators.filters import has_identity
 from lastseen.operators.newest import newest_of_days, seen_until
 from lastseen.session import require_utc
 from lastseen.sources import published
-from lastseen.sources.archive import RAW_INVENTORY, STORED_COLUMNS, TYPED_FIELDS
+from lastseen.sources.archive import (
+    RAW_INVENTORY,
+    STORED_COLUMNS,
+    TYPED_FIELDS,
+    UNPARSED,
+    rejected,
+    typed_with_unparsed,
+)
 
-SIGHTINGS, NEWEST, SERVICES = "sightings", "newest", "services"
-TABLES = (SIGHTINGS, NEWEST, SERVICES)
+SIGHTINGS, NEWEST, SERVICES, REJECTED = "sightings", "newest", "services", "rejected"
+TABLES = (SIGHTINGS, NEWEST, SERVICES, REJECTED)
 PARTITIONS = ("scrape_date", "departure_month")
 #: Groups that number services side by side.
 NUMBER_GROUPS = 256
@@ -34,6 +41,8 @@ _STORED = T.StructType(
         *STORED_COLUMNS,
     ]
 )
+_TEXTS = T.StructField(UNPARSED, T.MapType(T.StringType(), T.StringType()))
+_REJECTED = T.StructType([*_STORED, _TEXTS, T.StructField("reason", T.StringType())])
 SERVICE_NUMBERS = T.StructType(
     [T.StructField("service_id", T.StringType()), T.StructField("service_no", T.LongType())]
 )
@@ -48,6 +57,16 @@ DAYS = T.StructType(
 )
 
 
+def load_feed(raw: DataFrame, root: str, replace: bool = False) -> published.Manifest:
+    """Publish a batch as the feed has it, in one pass over it.
+
+    Text that does not parse becomes null in the sightings, as in every view; the rows it
+    stood in are published beside them, with the text and the reason
+    (:func:`rejected_sightings`).
+    """
+    return load_days(typed_with_unparsed(raw), root, replace)
+
+
 def load_days(typed: DataFrame, root: str, replace: bool = False) -> published.Manifest:
     """Publish a batch of typed sightings.
 
@@ -64,6 +83,8 @@ def load_days(typed: DataFrame, root: str, replace: bool = False) -> published.M
         days = _known_of_days(stored)
         if sum(known["n"] for known in days.values()) != rows:
             raise OSError(f"{root}: load {load} does not read back as it was written")
+        _store(rejected(stored), root, REJECTED, load)
+        stored = stored.drop(UNPARSED)
         numbers = published.read_lasting(spark, root, SERVICES, SERVICE_NUMBERS, began)
         new = published.staged_path(root, SERVICES, load)
         new_numbers(stored, numbers).write.parquet(new)
@@ -76,7 +97,9 @@ def load_days(typed: DataFrame, root: str, replace: bool = False) -> published.M
 
 
 def _arranged(typed: DataFrame) -> DataFrame:
-    return typed.select(*RAW_INVENTORY.names).withColumns(
+    if UNPARSED not in typed.columns:
+        typed = typed.withColumn(UNPARSED, F.lit(None).cast(_TEXTS.dataType))
+    return typed.select(*RAW_INVENTORY.names, UNPARSED).withColumns(
         {
             "relation_key": F.lower("relation_name"),
             "scrape_date": business_date(F.col("scrape_timestamp")),
@@ -102,7 +125,8 @@ def _store(rows: DataFrame, root: str, table: str, load: str) -> int:
 
 
 def _staged(spark: SparkSession, root: str, load: str) -> DataFrame:
-    return spark.read.schema(_STORED).parquet(published.staged_path(root, SIGHTINGS, load))
+    schema = T.StructType([*_STORED, _TEXTS])
+    return spark.read.schema(schema).parquet(published.staged_path(root, SIGHTINGS, load))
 
 
 def _known_of_days(stored: DataFrame) -> dict[str, dict]:
@@ -113,6 +137,7 @@ def _known_of_days(stored: DataFrame) -> dict[str, dict]:
         F.max("departure_date").alias("last_departure"),
         F.min("scrape_timestamp").alias("oldest"),
         F.max("scrape_timestamp").alias("newest"),
+        F.count(UNPARSED).alias(REJECTED),
     )
     texts = {name: F.col(name).cast("string") for name in ("first_departure", "last_departure")}
     texts |= {name: F.unix_micros(name) for name in ("oldest", "newest")}
@@ -159,6 +184,16 @@ def sightings(
     return published.read_days(spark, root, SIGHTINGS, _STORED, PARTITIONS, since, until)
 
 
+def rejected_sightings(
+    spark: SparkSession, root: str, since: date | None = None, until: date | None = None
+) -> DataFrame:
+    """Published sightings with text that did not parse: the text by column, the reason."""
+    require_utc(spark)
+    return published.read_days(
+        spark, root, REJECTED, _REJECTED, PARTITIONS, since, until, counted=REJECTED
+    )
+
+
 def newest_sightings(
     spark: SparkSession, root: str, since: date | None = None, until: datetime | None = None
 ) -> DataFrame:

@@ -17,6 +17,7 @@ from datetime import date
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Partition of rows whose day is null, as Spark names its folder.
@@ -147,11 +148,13 @@ def read_days(
     until: date | None = None,
     only: Iterable[date] | None = None,
     published: Manifest | None = None,
+    counted: str | None = None,
 ) -> DataFrame:
     """A published table; ``partitions`` are the folders of a load, the day's first.
 
     Only the folders of the days asked for are listed: ``since`` and ``until`` are the first
     and last, ``only`` names single ones.  Rows without a day come unless days are named.
+    ``counted`` is what loads noted of a table that they do not write for every day.
     """
     published = published or manifest(spark, root)
     wanted = None if only is None else {day.isoformat() for day in only}
@@ -163,7 +166,11 @@ def read_days(
             continue
         if day != NO_DAY and (since and day < since.isoformat() or until and day > until.isoformat()):
             continue
-        folders += [f"{staged_path(root, table, known['load'])}/{partitions[0]}={day}" for known in loads]
+        folders += [
+            f"{staged_path(root, table, known['load'])}/{partitions[0]}={day}"
+            for known in loads
+            if counted is None or known[counted]
+        ]
     return _read(spark, root, table, schema, folders)
 
 
@@ -175,11 +182,15 @@ def read_lasting(
     return _read(spark, root, table, schema, folders)
 
 
+def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+
+
 def _read(
     spark: SparkSession, root: str, table: str, schema: T.StructType, folders: list[str]
 ) -> DataFrame:
     if not folders:
-        return spark.createDataFrame([], schema)
+        return empty(spark, schema)
     reader = spark.read.schema(schema).option("basePath", _path(root, table))
     return reader.parquet(*folders).select(*schema.names)
 

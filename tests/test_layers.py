@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lastseen import FilterSpec
+from lastseen.operators.bitmaps import bitmaps_of, distinct_counts, merged_bitmaps
 from lastseen.operators.completeness import complete_among, complete_days
 from lastseen.operators.filters import scrape_end, scraped_since
 from lastseen.operators.latest import latest_services, latest_slots
@@ -16,6 +17,7 @@ from lastseen.plans import departures as fwd
 from lastseen.plans import history as past
 from lastseen.plans import quality
 from lastseen.sources import layers, published
+from lastseen.sources.archive import RAW_INVENTORY, typed_inventory, unparsed_counts
 from tests.conftest import SF_DIRS
 from tests.rows import AS_OF, archive, at, sighting, tuples
 from tests.test_archive import plan
@@ -260,3 +262,93 @@ def test_nothing_published_and_null_days(spark, tmp_path):
     layers.load_days(rows.limit(0), root)
     assert layers.sightings(spark, root).count() == 2
     assert layers.day_sizes(spark, root, AS_OF, 60).count() == 1
+
+
+# ---- bitmaps, rejects ----
+
+
+def test_bitmaps_over_the_stored_layer(spark, root, typed):
+    layer = layers.newest_sightings(spark, root)
+    services = past.past_services(layer, FilterSpec(), AS_OF, carried=("service_no",))
+    days = past.service_days(services)
+    plain = past.past_services(typed, FilterSpec(), AS_OF)
+    for view in (past.trend, past.share, past.weekdays, past.relation_operator_counts):
+        assert tuples(view(days)) == tuples(view(plain)), view.__name__
+    text = plan(past.daily_counts(days))
+    # Rows are shuffled once, to find the newest; then bitmaps, then counts.  No join.
+    assert "Join" not in text and f"/{layers.NEWEST}/load=" in text
+    assert text.split("(1) Scan")[0].count("Exchange") == 4
+    assert text.index("bitmap_construct_agg") < text.index("bitmap_or_agg")
+    tree = text.split("(1) Scan")[0].splitlines()
+    names = [line.strip("+-:* ").split(" ")[0] for line in reversed(tree)]
+    first = names.index("Exchange")
+    assert "Window" in names[first : names.index("Exchange", first + 1)]
+
+
+def test_bitmaps_at_the_larger_scale(spark):
+    rows = fixtures.inventory(spark, SF_DIRS["large"])
+    numbers = layers.new_numbers(rows, published.empty(spark, layers.SERVICE_NUMBERS))
+    layer = layers.with_service_numbers(newest_of_days(rows), numbers)
+    days = past.service_days(past.past_services(layer, FilterSpec(), AS_OF, carried=("service_no",)))
+    plain = past.past_services(rows, FilterSpec(), AS_OF)
+    for view in (past.trend, past.relation_operator_counts):
+        assert tuples(view(days)) == tuples(view(plain))
+
+
+def test_distinct_counts_beyond_one_bucket(spark):
+    """Numbers of several buckets, gaps, repeats, parts that overlap."""
+    frame = spark.range(200_000).selectExpr("id % 70000 * 3 AS no", "id % 7 AS part", "id % 2 AS half")
+    frame = frame.union(spark.createDataFrame([(None, 1, 1)], frame.schema))
+    bitmaps = bitmaps_of(frame, "no", "part", "half")
+    plain = frame.groupBy("half").agg(F.countDistinct("no").alias("n"))
+    assert tuples(distinct_counts(bitmaps, "half")) == tuples(plain)
+    assert distinct_counts(bitmaps).first()[0] == 70_000
+    again = merged_bitmaps(bitmaps.union(bitmaps), "half")
+    assert tuples(distinct_counts(again, "half")) == tuples(plain)
+
+
+def test_numbers_go_on_from_those_given_out(spark):
+    def ids(first, last):
+        return archive(spark, *(sighting(service_id=f"s{n}") for n in range(first, last)))
+
+    none = published.empty(spark, layers.SERVICE_NUMBERS)
+    old = layers.new_numbers(ids(0, 3_000), none)
+    new = layers.new_numbers(ids(2_000, 5_000), old)
+    every = dict(tuples(old.union(new)))
+    assert len(every) == len(set(every.values())) == 5_000
+    assert max(every.values()) < 2 * 5_000 and new.count() == 2_000
+
+
+def test_a_feed_is_split_into_typed_and_rejected_rows(spark, tmp_path):
+    rows = [
+        sighting(service_id="good"),
+        sighting(service_id="bad", departure_date="31-Feb-2026", total_seats="n/a"),
+        sighting(service_id="null", total_seats=None, available_seats=None),
+        sighting(service_id="half", available_seats="12.5", scrape_timestamp=at(31, 6, month=5)),
+    ]
+    raw = spark.createDataFrame(rows, RAW_INVENTORY)
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    root = str(tmp_path)
+    layers.load_feed(raw.mapInArrow(counted, RAW_INVENTORY), root)
+    assert reads.value == len(rows)
+    typed = typed_inventory(raw)
+    assert tuples(layers.sightings(spark, root), *typed.columns) == tuples(typed)
+    bad = layers.rejected_sightings(spark, root)
+    assert tuples(bad, "service_id", "reason", "unparsed") == [
+        ("bad", "departure_date, total_seats", {"departure_date": "31-Feb-2026", "total_seats": "n/a"}),
+        ("half", "available_seats", {"available_seats": "12.5"}),
+    ]
+    fine = typed.join(bad.select("service_id"), "service_id", "left_anti")
+    assert tuples(fine.unionByName(bad.select(typed.columns))) == tuples(typed.select(fine.columns))
+    counts = unparsed_counts(raw).first()
+    for name in ("departure_date", "available_seats", "total_seats"):
+        assert bad.filter(F.map_contains_key("unparsed", name)).count() == counts[name]
+    # A day loaded anew takes its rejected rows with it.
+    layers.load_feed(raw.filter("service_id = 'good'"), root, replace=True)
+    assert tuples(layers.rejected_sightings(spark, root), "service_id") == [("half",)]

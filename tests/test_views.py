@@ -14,6 +14,7 @@ from lastseen.plans import quality
 from lastseen.session import shared
 from tests.conftest import SF_DIRS
 from tests.rows import AS_OF, TODAY, archive, at, sighting, tuples, verdict_archive
+from tests.test_archive import plan
 from verification import fixtures
 
 EVERYTHING = FilterSpec()
@@ -519,3 +520,70 @@ def test_only_complete_scrape_days_count_in_the_older_trend(spark):
     )
     trend = past.trend_on_complete_days(rows, EVERYTHING, AS_OF, min_rows=3, min_span=29)
     assert tuples(trend) == [(date(2026, 5, 20), "flix", 2)]
+
+
+# ---- pages and one pass ----
+
+
+def test_pages_join_to_the_whole(spark):
+    latest = fwd.latest_departures(fixtures.inventory(spark, SF_DIRS["small"]), FilterSpec(), AS_OF)
+    odd = archive(
+        spark,
+        *(
+            sighting(relation_name=name, service_id=service, departure_time=time)
+            for name in (None, "a to b")
+            for service in (None, "", "s")
+            for time in (None, "", "9:00")
+        ),
+    )
+    small = fwd.latest_departures(odd, FilterSpec(), AS_OF)
+    for base, size in ((latest.persist(), 250), (small.persist(), 4)):
+        pages, after = [], None
+        while page := fwd.detail_page(base, size, after).collect():
+            pages += page
+            after = page[-1].asDict()
+        expected = fwd.detail_capped(base, 10**6).collect()
+        assert [tuple(row) for row in pages] == [tuple(row) for row in expected]
+        base.unpersist()
+
+
+def test_a_page_drops_the_rows_before_it_first(spark):
+    latest = fwd.latest_departures(fixtures.inventory(spark, SF_DIRS["small"]), FilterSpec(), AS_OF)
+    after = dict.fromkeys(fwd.PAGE_KEY, "x") | {"departure_date": date(2026, 6, 20)}
+    text = plan(fwd.detail_page(latest, 10, after))
+    assert "TakeOrderedAndProject" in text
+    # The date is known before the newest sightings are looked for.
+    scan = text.split("(1) Scan")[1]
+    assert scan.index(">= 2026-06-20") < scan.index("WindowGroupLimit")
+
+
+def test_one_pass_equals_the_separate_results(spark):
+    latest = fwd.latest_departures(fixtures.inventory(spark, SF_DIRS["small"]), FilterSpec(), AS_OF)
+    views = fwd.in_one_pass(latest)
+    text = plan(views)
+    assert text.count("WindowGroupLimit") == plan(latest).count("WindowGroupLimit")
+    assert text.split("(1) Scan")[0].count("Scan parquet") == 1
+    # One exchange finds the newest sightings, one groups them.
+    assert text.split("(1) Scan")[0].count("Exchange") == 2
+    separate = fwd.departure_results(latest)
+    for name, frame in fwd.one_pass_results(views).items():
+        assert frame.columns == separate[name].columns
+        assert tuples(frame) == tuples(separate[name]), name
+    none = fwd.one_pass_results(fwd.in_one_pass(latest.limit(0)))
+    assert none["row_count"].first()[0] == 0 and none["by_line"].isEmpty()
+
+
+def test_past_views_echo_their_own_window():
+    assert FilterSpec().in_force_past(AS_OF, 45)["dep_from"] == "2026-04-17"
+    assert FilterSpec().in_force_past(AS_OF, 45)["dep_to"] == "2026-05-31"
+    spec = FilterSpec(dep_from=date(2026, 5, 4), dep_to=date(2026, 5, 24), region="IN01")
+    echo = spec.in_force_past(AS_OF, 45)
+    assert (echo["dep_from"], echo["dep_to"], echo["region"]) == ("2026-05-04", "2026-05-24", "IN01")
+
+
+def test_utilisation_takes_verdicts(spark):
+    rows = fixtures.inventory(spark, SF_DIRS["small"])
+    slots = fixtures.verdicts(spark, SF_DIRS["small"])
+    plain = past.history(rows, FilterSpec(), AS_OF, "util")["points"]
+    joined = past.history(rows, FilterSpec(), AS_OF, "util", slots)["points"]
+    assert tuples(joined) == tuples(plain)

@@ -89,6 +89,7 @@ LINEITEM = (
 
 def raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    sf_dir = getattr(sf_dir, "feed", sf_dir)
     # With its schema given, reading the table starts no job.
     lineitem = spark.read.schema(LINEITEM).parquet(f"{sf_dir}/lineitem.parquet")
     return spark.sql(INVENTORY_SQL, lineitem=lineitem)
@@ -97,12 +98,16 @@ def raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 class ArchiveFolder(str):
     """A folder that holds the driver table as a stored archive (see ``ingest``)."""
 
+    feed: str  # the folder the archive was made from
+
 
 def ingest(spark: SparkSession, sf_dir: str, folder: str) -> ArchiveFolder:
     """Type and store the driver table below ``folder``, which the caller removes."""
     write_inventory(typed_inventory(raw_inventory(spark, sf_dir)), f"{folder}/inventory", "overwrite")
     write_verdicts(typed_verdicts(raw_verdicts(spark, sf_dir)), f"{folder}/verdicts", "overwrite")
-    return ArchiveFolder(folder)
+    stored = ArchiveFolder(folder)
+    stored.feed = sf_dir
+    return stored
 
 
 def raw_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:

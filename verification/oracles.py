@@ -499,3 +499,152 @@ FROM (SELECT DISTINCT relation_name FROM inv WHERE {RECENT} AND relation_name IS
         f"SELECT count(DISTINCT relation_name) AS count FROM inv WHERE {RECENT}"
     ),
 }
+
+# Layers and bitmaps change where results come from, not what they are.
+ORACLES |= {
+    "layer_latest_4key": ORACLES["latest_sighting_4key"],
+    "layer_latest_3key": ORACLES["latest_sighting_3key"],
+    "layer_departures_detail": ORACLES["departures_detail"],
+    "layer_product_before_dedup": ORACLES["product_before_dedup"],
+    "layer_wow_by_operator": ORACLES["wow_by_operator"],
+    "layer_utilization": ORACLES["utilization"],
+    "bitmap_trend_daily": ORACLES["trend_daily"],
+    "bitmap_trend_by_region": ORACLES["trend_by_region"],
+    "bitmap_relation_operator_counts": ORACLES["relation_operator_counts"],
+    "bitmap_top_relations": ORACLES["top_relations"],
+    "bitmap_dow_profile": ORACLES["dow_profile"],
+    "freshness_newest_day": ORACLES["freshness_latest"],
+}
+_WINDOWS = {
+    "week": f"{TODAY} - 7 AND {TODAY} - 1",
+    "month": f"{TODAY} - 30 AND {TODAY} - 1",
+    "range": "DATE '2026-05-04' AND DATE '2026-05-24'",
+}
+ORACLES["services_of_windows"] = sql(
+    "\nUNION ALL ".join(
+        f"""SELECT '{name}' AS "window", operator, count(DISTINCT service_id) AS services
+FROM svc WHERE operator <> 'other' AND departure_date BETWEEN {days} GROUP BY operator"""
+        for name, days in _WINDOWS.items()
+    ),
+    past(45),
+)
+_UNPARSED = {
+    "available_seats": "TRY_CAST(available_seats AS BIGINT)",
+    "departure_date": PARSED_DAY,
+    "total_seats": "TRY_CAST(total_seats AS BIGINT)",
+}
+ORACLES["rejected_rows"] = sql(
+    f"""SELECT reason, count(*) AS n FROM (SELECT concat_ws(', ', {", ".join(
+        f"CASE WHEN {name} IS NOT NULL AND {value} IS NULL THEN '{name}' END"
+        for name, value in _UNPARSED.items()
+    )}) AS reason FROM bus_inventory) WHERE reason <> '' GROUP BY reason"""
+)
+
+_SERVICE = "CASE WHEN service_id IS NULL OR service_id = '' THEN '(no-service)' ELSE service_id END"
+_SEATS = """count(*) AS departure_count,
+  CAST(COALESCE(sum(total_seats), 0) AS BIGINT) AS seats_offered,
+  round_even(avg(1.0::DOUBLE - available_seats::DOUBLE / nullif(total_seats, 0)) * 100, 1)
+    AS avg_load_pct"""
+_ONE_PASS_COLUMNS = {
+    "operator": "VARCHAR", "hour_band": "VARCHAR", "date": "DATE", "service_id": "VARCHAR",
+    "corridor": "VARCHAR", "departure_time": "VARCHAR",
+}
+
+
+def _pass(view: str, where: str, **groups: str) -> str:
+    columns = ", ".join(
+        f"{groups.get(name, f'CAST(NULL AS {kind})')} AS {name}"
+        for name, kind in _ONE_PASS_COLUMNS.items()
+    )
+    by = f"GROUP BY {', '.join(groups.values())}"
+    seats = _SEATS
+    if view != "by_operator_hourband":
+        seats = """count(*) AS departure_count, CAST(NULL AS BIGINT) AS seats_offered,
+  CAST(NULL AS DOUBLE) AS avg_load_pct"""
+    return f"SELECT '{view}' AS view, {columns}, {seats} FROM fwd WHERE {where} {by}"
+
+
+ORACLES["departures_in_one_pass"] = sql(
+    "\nUNION ALL ".join(
+        [
+            # The library keeps departures of unknown operators in a row of their own.
+            _pass("row_count", "true", **{}).replace("GROUP BY ", "GROUP BY (operator <> 'other')"),
+            _pass("by_operator_hourband", "operator <> 'other'", operator="operator", hour_band="hour_band"),
+            _pass("by_day", "operator <> 'other'", date="departure_date", operator="operator"),
+            _pass(
+                "by_line",
+                "operator <> 'other'",
+                service_id=_SERVICE,
+                corridor="relation_name",
+                operator="operator",
+                departure_time="nullif(departure_time, '')",
+            ),
+        ]
+    ),
+    forward(),
+)
+_AFTER = """departure_date > DATE '2026-06-10' OR departure_date = DATE '2026-06-10' AND (
+  departure_time IS NOT NULL OR operator > 'freshbus' OR operator = 'freshbus' AND (
+    relation_name > 'delhi to manali' OR relation_name = 'delhi to manali' AND
+      service_id > 'svc-16'))"""
+ORACLES["departures_page"] = sql(
+    f"""SELECT *, CAST(row_number() OVER (ORDER BY {DETAIL_ORDER}) AS INTEGER) AS rank
+FROM ({DETAIL}) WHERE {_AFTER} ORDER BY rank LIMIT 500""",
+    forward(),
+    LINES,
+)
+
+
+def _lines_of(result: str, query: str, *columns: str) -> str:
+    """A result as JSON lines, its columns by name."""
+    fields = ", ".join(f"{name} := {name}" for name in sorted(columns))
+    return f"""SELECT '{result}' AS result,
+  CAST(to_json(struct_pack({fields})) AS VARCHAR) AS row FROM ({query})"""
+
+
+def _view(*results: str) -> str:
+    return "\nUNION ALL ".join(results)
+
+
+ORACLES["departures_view"] = _view(
+    _lines_of(
+        "rows", ORACLES["departures_detail"], "departure_date", "departure_time", "operator",
+        "relation_name", "service_id", "line_number", "bus_type", "product", "is_ac", "is_volvo",
+        "total_seats", "avail_seats", "load_pct",
+    ),
+    _lines_of("row_count", ORACLES["departures_row_count"], "row_count_raw"),
+    _lines_of(
+        "by_operator_hourband", ORACLES["by_operator_hourband"], "operator", "hour_band",
+        "departure_count", "seats_offered", "avg_load_pct",
+    ),
+    _lines_of("by_day", ORACLES["departures_by_day"], "date", "operator", "departure_count"),
+    _lines_of(
+        "by_line",
+        f"""SELECT * REPLACE (CASE WHEN departure_times = '' THEN []
+  ELSE string_split(departure_times, '|') END AS departure_times) FROM ({ORACLES["by_line"]})""",
+        "service_id", "corridor", "operator", "departure_count", "departure_times",
+    ),
+)
+_CHANGES = ("abs_delta", "current", "pct_delta", "prior")
+_DELTA = ("relation", *_CHANGES)
+_WEEKS = ("period", "first_day", "last_day", "operator", "departures")
+ORACLES["history_views"] = _view(
+    _lines_of("trend_45 points", ORACLES["trend_daily"], "departure_date", "operator", "departure_count"),
+    _lines_of("share points", ORACLES["share"], "departure_date", "operator", "count", "share_pct"),
+    _lines_of("dow points", ORACLES["dow_profile"], "operator", "dow", "dow_label", "avg", "n_dates"),
+    _lines_of("top_relations rows", ORACLES["top_relations"], "relation", "total", "operator", "departure_count"),
+    _lines_of("wow delta", ORACLES["wow"], "operator", *_CHANGES),
+    _lines_of("wow weeks", ORACLES["wow_weeks"], *_WEEKS),
+    _lines_of("wow_relation gainers", ORACLES["wow_gainers"], *_DELTA),
+    _lines_of("wow_relation losers", ORACLES["wow_losers"], *_DELTA),
+    _lines_of("wow_relation weeks", ORACLES["wow_weeks"], *_WEEKS),
+    _lines_of(
+        "util points", ORACLES["utilization"], "departure_date", "operator_group", "total_seats",
+        "avail_seats", "util_pct",
+    ),
+)
+ORACLES["freshness_view"] = _view(
+    _lines_of("latest", ORACLES["freshness_latest"], "latest"),
+    _lines_of("excluded", ORACLES["partial_days"], "date", "rows", "reason"),
+    _lines_of("history_days", ORACLES["clean_day_count"], "history_days"),
+)

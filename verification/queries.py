@@ -17,6 +17,7 @@ from lastseen.functions.rules import (
 from lastseen.functions.times import departure_hour as hour_of
 from lastseen.functions.times import hour_band
 from lastseen.operators.completeness import complete_days, on_days
+from lastseen.functions.times import business_day
 from lastseen.operators.filters import FilterSpec, scraped_since
 from lastseen.operators.latest import (
     latest_services,
@@ -24,12 +25,15 @@ from lastseen.operators.latest import (
     latest_verdicts,
     with_verdict,
 )
+from lastseen.operators.newest import newest_of_days
 from lastseen.plans import departures as fwd
 from lastseen.plans import history as past
 from lastseen.plans import quality
+from lastseen.sources.archive import json_rows, rejected, typed_with_unparsed, unparsed_counts
 from lastseen.sources.archive import typed_inventory as typed
-from lastseen.sources.archive import unparsed_counts
 from lastseen.sources.dimensions import with_line_number, with_region
+from lastseen.sources.layers import SERVICE_NUMBERS, new_numbers, with_service_numbers
+from lastseen.sources.published import empty
 from verification.fixtures import AS_OF, inventory, raw_inventory, verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +85,11 @@ def unparsed_text(spark, sf_dir):
     return unparsed_counts(raw_inventory(spark, sf_dir))
 
 
+@query
+def rejected_rows(spark, sf_dir):
+    return _count(rejected(typed_with_unparsed(raw_inventory(spark, sf_dir))), "reason")
+
+
 @query
 def route_regions(spark, sf_dir):
     return _count(with_region(inventory(spark, sf_dir)), "relation_name", "region")
@@ -486,3 +495,153 @@ def relations(spark, sf_dir):
 @query
 def relation_count(spark, sf_dir):
     return quality.relation_count(inventory(spark, sf_dir), AS_OF)
+
+
+@query
+def freshness_newest_day(spark, sf_dir):
+    return quality.latest_scrape(inventory(spark, sf_dir), business_day(AS_OF))
+
+
+# ---- views over the newest layer ------------------------------------------
+
+
+def _layer(spark, sf_dir):
+    return newest_of_days(inventory(spark, sf_dir))
+
+
+@query
+def layer_latest_4key(spark, sf_dir):
+    return _stamped(latest_slots(_layer(spark, sf_dir)))
+
+
+@query
+def layer_latest_3key(spark, sf_dir):
+    return _stamped(latest_services(_layer(spark, sf_dir)))
+
+
+@query
+def layer_departures_detail(spark, sf_dir):
+    return fwd.detail(fwd.latest_departures(_layer(spark, sf_dir), EVERYTHING, AS_OF))
+
+
+@query
+def layer_product_before_dedup(spark, sf_dir):
+    spec = FilterSpec(products=("Sleeper", "Hybrid"))
+    latest = fwd.latest_departures_template(_layer(spark, sf_dir), spec, AS_OF)
+    return fwd.hourband_template(latest)
+
+
+@query
+def layer_wow_by_operator(spark, sf_dir):
+    spec = FilterSpec(operators=("intrcity", "nuego"))
+    services = past.compared_services(_layer(spark, sf_dir), spec, AS_OF)
+    return past.week_over_week(services, AS_OF)
+
+
+@query
+def layer_utilization(spark, sf_dir):
+    return past.utilization(_layer(spark, sf_dir), EVERYTHING, AS_OF)
+
+
+# ---- distinct services from bitmaps ---------------------------------------
+
+
+def _service_days(spark, sf_dir, spec=EVERYTHING):
+    rows = inventory(spark, sf_dir)
+    numbers = new_numbers(rows, empty(spark, SERVICE_NUMBERS))
+    layer = with_service_numbers(newest_of_days(rows), numbers)
+    services = past.past_services(layer, spec, AS_OF, carried=("service_no",))
+    return past.service_days(services)
+
+
+@query
+def bitmap_trend_daily(spark, sf_dir):
+    return _ranked(past.trend(_service_days(spark, sf_dir)))
+
+
+@query
+def bitmap_trend_by_region(spark, sf_dir):
+    return past.trend(_service_days(spark, sf_dir, FilterSpec(region="IN11")))
+
+
+@query
+def bitmap_relation_operator_counts(spark, sf_dir):
+    return past.relation_operator_counts(_service_days(spark, sf_dir))
+
+
+@query
+def bitmap_top_relations(spark, sf_dir):
+    return past.top_relations(_service_days(spark, sf_dir), TOP)
+
+
+@query
+def bitmap_dow_profile(spark, sf_dir):
+    return past.weekdays(_service_days(spark, sf_dir))
+
+
+@query
+def services_of_windows(spark, sf_dir):
+    """Distinct services per operator over windows of a week, a month and a fixed range."""
+    days = _service_days(spark, sf_dir)
+    windows = {
+        "week": past.past_days(AS_OF, 7),
+        "month": past.past_days(AS_OF, 30),
+        "range": (date(2026, 5, 4), date(2026, 5, 24)),
+    }
+    parts = [
+        past.services_between(days, *window).withColumn("window", F.lit(name))
+        for name, window in windows.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# ---- whole views ----------------------------------------------------------
+
+
+@query
+def departures_in_one_pass(spark, sf_dir):
+    return fwd.in_one_pass(_forward(spark, sf_dir))
+
+
+@query
+def departures_page(spark, sf_dir):
+    after = {
+        "departure_date": date(2026, 6, 10),
+        "departure_time": None,
+        "operator": "freshbus",
+        "relation_name": "delhi to manali",
+        "service_id": "svc-16",
+    }
+    return _ranked(fwd.detail_page(_forward(spark, sf_dir), 500, after))
+
+
+def _as_lines(results: dict[str, DataFrame]) -> DataFrame:
+    """Results of a view as JSON lines, columns by name, each with the result's name."""
+    lines = [
+        json_rows(frame, sorted(frame.columns)).withColumn("result", F.lit(name))
+        for name, frame in results.items()
+    ]
+    every = lines[0]
+    for more in lines[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+@query
+def departures_view(spark, sf_dir):
+    return _as_lines(fwd.departures(inventory(spark, sf_dir), EVERYTHING, AS_OF))
+
+
+@query
+def history_views(spark, sf_dir):
+    rows, slots = inventory(spark, sf_dir), verdicts(spark, sf_dir)
+    results = {}
+    for view in ("trend_45", "share", "dow", "top_relations", "wow", "wow_relation", "util"):
+        frames = past.history(rows, EVERYTHING, AS_OF, view, slots, k=TOP)
+        results |= {f"{view} {name}": frame for name, frame in frames.items()}
+    return _as_lines(results)
+
+
+@query
+def freshness_view(spark, sf_dir):
+    return _as_lines(quality.freshness(inventory(spark, sf_dir), AS_OF, PARTIAL_ROWS))

@@ -28,6 +28,7 @@ from lastseen.sources.archive import (
     rejected,
     typed_with_unparsed,
 )
+from lastseen.sources.lookups import curve, filtered
 
 SIGHTINGS, NEWEST, SERVICES, REJECTED = "sightings", "newest", "services", "rejected"
 TABLES = (SIGHTINGS, NEWEST, SERVICES, REJECTED)
@@ -57,28 +58,33 @@ DAYS = T.StructType(
 )
 
 
-def load_feed(raw: DataFrame, root: str, replace: bool = False) -> published.Manifest:
+def load_feed(
+    raw: DataFrame, root: str, replace: bool = False, lookups: int | None = None
+) -> published.Manifest:
     """Publish a batch as the feed has it, in one pass over it.
 
     Text that does not parse becomes null in the sightings, as in every view; the rows it
     stood in are published beside them, with the text and the reason
     (:func:`rejected_sightings`).
     """
-    return load_days(typed_with_unparsed(raw), root, replace)
+    return load_days(typed_with_unparsed(raw), root, replace, lookups)
 
 
-def load_days(typed: DataFrame, root: str, replace: bool = False) -> published.Manifest:
+def load_days(
+    typed: DataFrame, root: str, replace: bool = False, lookups: int | None = None
+) -> published.Manifest:
     """Publish a batch of typed sightings.
 
     With ``replace`` the scrape days found in the batch are swapped for it, else they grow
     by it.  The batch is computed once; all else is made from what it wrote.  Whatever
-    fails, readers go on seeing what was published before.
+    fails, readers go on seeing what was published before.  ``lookups``, the services to
+    expect in a row group, stores the rows for point lookups (see ``lookups``).
     """
     spark = typed.sparkSession
     require_utc(spark)
     began, load = published.manifest(spark, root), published.new_load()
     try:
-        rows = _store(_arranged(typed), root, SIGHTINGS, load)
+        rows = _store(_arranged(typed), root, SIGHTINGS, load, lookups)
         stored = _staged(spark, root, load)
         days = _known_of_days(stored)
         if sum(known["n"] for known in days.values()) != rows:
@@ -89,7 +95,8 @@ def load_days(typed: DataFrame, root: str, replace: bool = False) -> published.M
         new = published.staged_path(root, SERVICES, load)
         new_numbers(stored, numbers).write.parquet(new)
         numbers = numbers.unionByName(spark.read.schema(SERVICE_NUMBERS).parquet(new))
-        _store(with_service_numbers(newest_of_days(stored), numbers), root, NEWEST, load)
+        newest = with_service_numbers(newest_of_days(stored), numbers)
+        _store(newest, root, NEWEST, load, lookups)
         return published.publish(spark, root, load, days, began, (SERVICES,), replace)
     except BaseException:
         published.discard(spark, root, load, TABLES)
@@ -108,16 +115,21 @@ def _arranged(typed: DataFrame) -> DataFrame:
     )
 
 
-def _store(rows: DataFrame, root: str, table: str, load: str) -> int:
+def _store(
+    rows: DataFrame, root: str, table: str, load: str, lookups: int | None = None
+) -> int:
     """Write a table of a load aside; returns the rows handed to the writer."""
     seen = Observation()
-    (
+    place = [F.col("departure_date")] if lookups is None else [curve()]
+    writer = (
         rows.observe(seen, F.count(F.lit(1)).alias("rows"))
         .hint("rebalance", "scrape_date")
-        .sortWithinPartitions("scrape_date", "departure_date", "relation_name", "service_id")
+        .sortWithinPartitions(*PARTITIONS, *place, "relation_name", "service_id")
         .write.partitionBy(*PARTITIONS)
-        .parquet(published.staged_path(root, table, load))
     )
+    if lookups is not None:
+        writer = filtered(writer, lookups)
+    writer.parquet(published.staged_path(root, table, load))
     try:
         return seen.get["rows"]
     except Py4JJavaError:  # a batch that is empty by its plan is never run

@@ -20,17 +20,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lastseen.llm.chunks import ChunkEncoder, pieces_of
+from lastseen.llm.chunks import ArrowChunkEncoder
 from lastseen.llm.common import scratch_path, shipped, stored
 
 SEQUENCE_LENGTH, SEQUENCES_IN_BATCH = 2048, 256
 #: The id that ends a document.
 END_ID = 0
+#: How byte-level vocabularies write a space.
+SPACE = "\u0120"
+#: Characters encoded at a time.
+TEXT_AT_ONCE = 1 << 23
 
 
 def token_type(vocabulary: int) -> np.dtype:
@@ -51,21 +56,23 @@ INDEX_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tok
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str) -> tuple[ChunkEncoder, np.dtype]:
+def _tokenizer(path: str) -> tuple[ArrowChunkEncoder, np.dtype]:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark fills the cores
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    dtype = token_type(tokenizer.get_vocab_size())
+    names = tokenizer.get_vocab(with_added_tokens=True)
+    dtype = token_type(max(names.values(), default=0) + 1)
+    opens = np.zeros(max(names.values(), default=0) + 1, dtype=bool)
+    opens[[number for name, number in names.items() if name.startswith(SPACE)]] = True
 
-    def encode_new(chunks: list[str]) -> list[bytes]:
-        codes = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(code.ids, dtype=dtype).tobytes() for code in codes]
+    def encode_batch(texts: list[str]) -> list[np.ndarray]:
+        codes = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(code.ids, dtype=dtype) for code in codes]
 
-    return ChunkEncoder(encode_new), dtype
+    return ArrowChunkEncoder(encode_batch, opens, dtype), dtype
 
 
 class _Packer:
@@ -107,6 +114,14 @@ class _Packer:
         self._writer.close()
 
 
+def _stretches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of texts that together have about :data:`TEXT_AT_ONCE` bytes."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    run = (np.cumsum(sizes) - sizes) // TEXT_AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+    return ((a, b) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
 MANIFEST_SCHEMA = "part int, tokens string, index string, n_docs long, n_tokens long, n_sequences long"
 
 
@@ -126,7 +141,6 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str) -> Data
         system.create_dir(base, recursive=True)
         names = {k: f"{base}/part-{part:05d}.{k}.arrows" for k in ("tokens", "index")}
         drafts = {k: f"{name}.attempt-{context.taskAttemptId()}" for k, name in names.items()}
-        end = np.array([END_ID], dtype=dtype).tobytes()
         n_docs = n_tokens = 0
         with system.open_output_stream(drafts["tokens"]) as tokens, system.open_output_stream(
             drafts["index"]
@@ -134,17 +148,15 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str) -> Data
             packer = _Packer(tokens, dtype)
             writer = pa.ipc.new_stream(index, INDEX_SCHEMA)
             for batch in batches:
-                for start, texts in pieces_of(batch.column(1), 1 << 20):
-                    lengths = []
-                    for code in encoder.encode(texts):
-                        packer.add(code)
-                        packer.add(end)
-                        lengths.append(len(code) // dtype.itemsize + 1)
-                    sizes = np.array(lengths, dtype=np.int64)
+                for start, stop in _stretches(batch.column(1)):
+                    some = batch.slice(start, stop - start)
+                    ids, sizes = encoder.encode(pc.fill_null(some.column(1), ""))
+                    packer.add(np.insert(ids, np.cumsum(sizes), END_ID).tobytes())
+                    sizes = sizes + 1
                     starts = n_tokens + np.cumsum(sizes) - sizes
-                    rows = [batch.column(0).slice(start, len(texts)), pa.array(starts), pa.array(sizes)]
+                    rows = [some.column(0), pa.array(starts), pa.array(sizes)]
                     writer.write_batch(pa.RecordBatch.from_arrays(rows, schema=INDEX_SCHEMA))
-                    n_docs += len(texts)
+                    n_docs += some.num_rows
                     n_tokens += int(sizes.sum())
             packer.close()
             writer.close()

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -307,12 +308,31 @@ def test_chunks_are_forgotten_but_never_wrong():
         assert encoder.encode(texts) == [t.encode() for t in texts]
 
 
+def test_chunks_in_bulk_equal_the_tokenizer():
+    """Runs of white space, empty texts, forgotten chunks, texts of one chunk."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, _ = token_files._tokenizer(path)
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["", " ", "  ", "a", " a", "a ", "a  b", "\n a \n", "x\x1c y", "a\u00a0 b \u2003 c", "é  é é", "a   "]
+    texts += [prose(k, 40).replace("ta", k % 3 * " ").replace("el", "\n" * (k % 2)) for k in range(60)]
+    for _ in range(2):
+        for some in (texts, texts[::-1], texts[:1], []):
+            ids, sizes = encoder.encode(pa.array(some, pa.string()))
+            expected = [tokenizer.encode(text, add_special_tokens=False).ids for text in some]
+            assert sizes.tolist() == [len(e) for e in expected]
+            assert ids.tolist() == [i for e in expected for i in e]
+        encoder._limit = 3  # forgets everything between calls
+    encoder._limit = 1_200_000
+
+
 def test_token_files(spark, corpora, monkeypatch):
+    monkeypatch.setattr(token_files, "TEXT_AT_ONCE", 20_000)
     monkeypatch.setattr(token_files, "SEQUENCES_IN_BATCH", 2)
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    for docs in corpora:
+    marks = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "a  <|endoftext|>  b", " <|endoftext|><|endoftext|>"]
+    marked = spark.createDataFrame([(i, text) for i, text in enumerate(marks)], "doc_id long, text string")
+    for docs in (*corpora, marked):
         manifest = token_files.write_token_files(docs, path, scratch_path(spark, "test-tokens"))
         got = [tuple(r) for r in token_files.read_token_files(manifest).orderBy("start").collect()]
         rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: -1 if r["doc_id"] is None else r["doc_id"])

@@ -22,12 +22,16 @@ from pyspark.sql import functions as F
 
 from lastseen.llm.common import shipped, stored
 
-#: Vectors in a block, dimensions accumulated at a time, shares of the candidates.
-QUERY_BLOCK, CANDIDATE_BLOCK = 256, 4096
+#: Vectors in a block, queries of a block scored at a time, dimensions accumulated at a
+#: time, shares of the candidates.  A candidate is sent once for each block of queries.
+QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 4096
+QUERIES_AT_A_TIME = 256
 DIMENSIONS_AT_A_TIME = 16
 SLOTS = 16
 #: Sums below this are exact in double precision.
 EXACT = 2**53
+#: Integers from here on are no components; scores beyond the largest long are that long.
+TOO_LARGE, LARGEST = 2**62, 2**63 - 1
 
 BLOCK_SCHEMA = "n int, dims int, ids binary, values binary"
 
@@ -46,8 +50,6 @@ def _packer(size: int, scale: float):
                 for row, vector in zip(grid, vectors):
                     row[: len(vector)] = vector
                 scaled = np.floor(grid * scale)
-                if np.abs(scaled).max(initial=0) >= 2**62:
-                    raise ValueError("a component does not fit 64 bits")
                 columns = scaled.astype(np.int64).T
                 ids = some.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 values = [[len(vectors)], [dims], [ids.tobytes()], [np.ascontiguousarray(columns).tobytes()]]
@@ -68,6 +70,13 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[new][:k], scores[new][:k]
 
 
+def _as_long(scores: np.ndarray) -> np.ndarray:
+    """Scores as longs; those beyond, held as Python integers, as the largest or smallest."""
+    if scores.dtype == object:
+        scores = np.array([max(-LARGEST, min(LARGEST, s)) for s in scores], dtype=np.int64)
+    return scores.astype(np.int64)
+
+
 def search_blocks(
     query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -91,8 +100,8 @@ def search_blocks(
     seeded = queries.T @ columns[:, seeds]
     for q, query_id in enumerate(query_ids.tolist()):
         own = ids[seeds] == query_id
-        known = np.unique(np.stack([ids[seeds][~own], seeded[q][~own]]), axis=1)[1]
-        limit = np.sort(known)[-k] if len(known) >= k else -np.inf
+        _, known = _best(ids[seeds][~own], _as_long(seeded[q][~own]), k)
+        limit = known[-1] if len(known) >= k else -np.inf
         alive = np.flatnonzero(ids != query_id)
         sums = first[q][alive]
         for step, (a, b) in enumerate(blocks):
@@ -101,7 +110,7 @@ def search_blocks(
             reach = query_mass[step][q] * mass_left[step][alive] * (1 + 1e-9) + 1e-6
             stay = sums.astype(np.float64) + reach >= limit
             alive, sums = alive[stay], sums[stay]
-        best, scores = _best(ids[alive], sums, k)
+        best, scores = _best(ids[alive], _as_long(sums), k)
         yield query_id, best, scores
 
 
@@ -117,13 +126,17 @@ def _searcher(k: int):
                     ids = np.frombuffer(row[f"{side}_ids"], np.int64)
                     values = np.frombuffer(row[f"{side}_values"], np.int64)
                     grids += [ids, values.reshape(row[f"{side}_dims"], row[f"{side}_n"])]
-                found = list(search_blocks(*grids, k))
+                query_ids, queries, *others = grids
+                found = []
+                for start in range(0, len(query_ids), QUERIES_AT_A_TIME):
+                    some = slice(start, start + QUERIES_AT_A_TIME)
+                    found += search_blocks(query_ids[some], queries[:, some], *others, k)
                 sizes = [len(ids) for _, ids, _ in found]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat(np.array([q for q, _, _ in found], np.int64), sizes)),
                         pa.array(np.concatenate([i for _, i, _ in found])),
-                        pa.array(np.concatenate([s for _, _, s in found]).astype(np.int64)),
+                        pa.array(np.concatenate([s for _, _, s in found])),
                     ],
                     names=["query_id", "vec_id", "score"],
                 )
@@ -135,14 +148,17 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, scale: float) ->
     """The k candidates of highest integer inner product of each query.
 
     Both frames have the columns vec_id and embedding.  Vectors that are null or
-    hold null or non-finite components, and null ids, take no part.  A query's own
-    id is no candidate; rows equal in id and score count once; missing dimensions
-    are zeros.  Returns query_id, rank (from 1), vec_id, score.
+    hold null or non-finite components, and null ids, take no part, nor do vectors with a
+    component of 2^62 or more once scaled.  Scores are exact; one that a long cannot hold
+    is returned, and ranked, as the largest or smallest.  A query's own id is no candidate;
+    rows equal in id and score count once; missing dimensions are zeros; an empty table
+    gives no rows.  Returns query_id, rank (from 1), vec_id, score.
     """
 
     def usable(frame: DataFrame) -> DataFrame:
         vector = F.col("embedding").cast("array<double>")
-        finite = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
+        fits = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) < TOO_LARGE)
+        finite = F.forall(vector, fits)
         return frame.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")).filter(
             F.col("vec_id").isNotNull() & finite
         )
@@ -170,6 +186,11 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, scale: float) ->
 
 @shipped
 def op8_exact_topk(spark, sf_dir: str) -> DataFrame:
+    """The 20 best candidates of each vector whose id is divisible by 20.
+
+    Null, non-finite, very large, tied and repeated vectors are as in :func:`nearest`; an
+    empty table gives no rows and other columns are ignored.
+    """
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return nearest(vectors.filter("vec_id % 20 = 0"), vectors, k=20, scale=64.0)
 

@@ -234,6 +234,26 @@ def test_topk_with_ties_nulls_and_large_values(spark):
     assert topk.nearest(nothing, nothing, 20, 64.0).count() == 0
 
 
+@pytest.mark.parametrize("large", [2.0**28, 2.0**46, 2.0**54])
+def test_topk_with_queries_of_large_components(spark, large, monkeypatch):
+    """Products beyond 53 and 64 bits, in queries and candidates; what does not fit is left out."""
+    monkeypatch.setattr(topk, "QUERIES_AT_A_TIME", 7)
+    chance = np.random.default_rng(4)
+    rows = [(i, chance.integers(-3, 4, 20).astype(float).tolist()) for i in range(200)]
+    rows += [(i, (large * chance.integers(-2, 3, 20)).tolist()) for i in range(200, 260)]
+    rows += [(260, [1e30] * 20), (280, [2.0**57] * 20), (300, [1e308, float("-inf")]), rows[3], rows[220], rows[220]]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.nearest(frame.filter("vec_id % 20 = 0"), frame, 20, 64.0)
+    usable = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows if i < 260}
+    expected, most = [], 2**63 - 1
+    for q in usable:
+        if q % 20 == 0:
+            sums = {c: sum(a * b for a, b in zip(usable[q], usable[c])) for c in usable if c != q}
+            best = sorted((-max(-most, min(most, s)), c) for c, s in sums.items())[:20]
+            expected += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    assert pairs_of(got, "query_id", "rank", "vec_id", "score") == sorted(expected, key=repr)
+
+
 # --- pipeline --------------------------------------------------------------------
 
 

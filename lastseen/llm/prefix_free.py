@@ -10,15 +10,18 @@ the same entry class, so
 1. entries whose stem (the text every window of the entry holds) is unique in the
    corpus are proven free of repeats and leave;
 2. an entry whose whole context occurs again has only repeated windows;
-3. the windows of the remaining dictionary entries are ordered against each other
-   per stem: equal neighbours in that order share at least L bytes.
+3. the windows of the remaining dictionary entries are sorted out in two rounds by
+   the same two tests: first in cells of a few neighbouring windows, by what all windows
+   of a cell share and by all that they cover, then one by one.
 
 The dictionary holds each context once, so a text with thousands of copies is
-looked at once in step 3.  No step gathers the occurrences of an entry: counts
-are pre-aggregated, and occurrences meet them in a join that can be split.
+looked at once in step 3.  No step gathers the occurrences of an entry or the entries
+of a stem: counts are pre-aggregated, and occurrences meet them in a join that can be
+split.  A round makes few rows for an entry, whatever the number of entries.
 
-Windows are compared by fingerprints: 64-bit polynomial ones for the stem and
-for the context (both must agree), 128-bit BLAKE2 ones in step 3.
+Everything is compared by two 64-bit fingerprints that must both agree: of stem and
+context, of a cell's core and cover, and two of each single window.  A text is named by
+two hashes as well, one of them seeded with its id.
 """
 
 from __future__ import annotations
@@ -43,8 +46,11 @@ LONGEST_REACH = 250
 _TRIGGER = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _BYTE_VALUES = np.random.default_rng(20_240_607).integers(0, 2**64, 256, dtype=np.uint64)
-#: Stems with more dictionary entries are ordered by Spark, not in one task.
-ENTRIES_IN_TASK = 1000
+#: A second, independent fingerprint.
+_SECOND_BASE = 0x2545F4914F6CDD1D
+_SECOND_VALUES = np.random.default_rng(20_261_201).integers(0, 2**64, 256, dtype=np.uint64)
+#: Neighbouring windows sorted out together in the first round.
+CELL = 8
 #: Bytes parsed in one go.
 _CHUNK = 1 << 20
 
@@ -147,30 +153,26 @@ def _runs_of_texts(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
             first, size, held = i + 1, 0, []
 
 
-PARSE_SCHEMA = "stem long, context long, id long, place long, n long"
+PARSE_SCHEMA = "stem long, context long, key long, sum long, place int, n long"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns id, check, text -> the distinct entries of each text.
-
-    ``place`` holds the first offset in its low and the checksum in its high half.
-    """
+    """Columns key, sum, text -> the distinct entries of each text, at their first place."""
     for batch in batches:
-        ids = batch.column(0)
-        checks = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for start, held in _runs_of_texts(batch.column(2)):
             entries = Entries(held)
             first, _, sizes = entries.groups()
-            whose = entries.owner[first] + start
+            whose = pa.array(entries.owner[first] + start)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(entries.stem[first].view(np.int64)),
                     pa.array(entries.context[first].view(np.int64)),
-                    ids.take(pa.array(whose)),
-                    pa.array(entries.at[first] | (checks[whose] << 32)),
+                    batch.column(0).take(whose),
+                    batch.column(1).take(whose),
+                    pa.array(entries.at[first], pa.int32()),
                     pa.array(sizes),
                 ],
-                names=["stem", "context", "id", "place", "n"],
+                names=["stem", "context", "key", "sum", "place", "n"],
             )
 
 
@@ -186,7 +188,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             entries = Entries([data])
             index = {at: k for k, at in enumerate(entries.at.tolist())}
             for wanted in batch.column(1)[i].as_py():
-                k = index[wanted["place"] & 0xFFFFFFFF]
+                k = index[wanted["place"]]
                 at, low, high = int(entries.at[k]), int(entries.low[k]), int(entries.high[k])
                 for name in ("stem", "context", "n"):
                     out[name].append(wanted[name])
@@ -199,98 +201,103 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _intervals(numbers: list[int]) -> list[int]:
-    """First and last of each run of consecutive numbers, in one flat list."""
-    flat: list[int] = []
-    for number in sorted(numbers):
-        if flat and flat[-1] == number - 1:
-            flat[-1] = number
-        else:
-            flat += (number, number)
-    return flat
-
-
-ORDER_SCHEMA = "stem long, context long, runs array<int>"
+class _Prints:
+    """Both fingerprints of any stretch of some bytes."""
 
+    def __init__(self, data: bytes):
+        self._tables = []
+        codes = np.frombuffer(data, np.uint8)
+        for base, values in ((_BASE, _BYTE_VALUES), (_SECOND_BASE, _SECOND_VALUES)):
+            step = np.full(len(data) + 1, base, dtype=np.uint64)
+            step[0] = 1
+            powers = np.multiply.accumulate(step)
+            step[1:] = pow(base, -1, 2**64)
+            sums = np.zeros(len(data) + 1, dtype=np.uint64)
+            np.cumsum(values[codes] * powers[:-1], out=sums[1:])
+            self._tables.append((sums, np.multiply.accumulate(step)))
 
-def _order_group(rows: list[tuple]) -> Iterator[tuple[int, int, list[int]]]:
-    """Put the windows of one stem's entries in order; equal neighbours repeat."""
-    windows = []
-    for k, (_, _, low, high, _, data) in enumerate(rows):
-        windows += [(data[i : i + MATCH_BYTES], k, high - i) for i in range(high - low + 1)]
-    windows.sort()
-    repeated: dict[int, set[int]] = {}
-    for (one, k, a), (other, j, b) in zip(windows, windows[1:]):
-        if one == other:
-            repeated.setdefault(k, set()).add(a)
-            repeated.setdefault(j, set()).add(b)
-    for k, reach in repeated.items():
-        if rows[k][4] < 2:
-            yield rows[k][0], rows[k][1], _intervals(list(reach))
+    def of(self, which: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        sums, inverses = self._tables[which]
+        return (sums[end] - sums[start]) * inverses[start]
 
 
-def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of CONTEXT_SCHEMA sorted by stem -> the repeated windows of each entry."""
+NODE_SCHEMA = "core long, cover long, stem long, context long, n long, first int, last int"
 
-    def batch_of(found: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*found)) or [(), (), ()]
-        types = (pa.int64(), pa.int64(), pa.list_(pa.int32()))
-        arrays = [pa.array(list(c), t) for c, t in zip(columns, types)]
-        return pa.RecordBatch.from_arrays(arrays, names=["stem", "context", "runs"])
-
-    held: list[tuple] = []
-    for batch in batches:
-        found: list[tuple] = []
-        for row in zip(*(column.to_pylist() for column in batch.columns)):
-            if held and held[0][0] != row[0]:
-                found += _order_group(held)
-                held = []
-            held.append(row)
-        yield batch_of(found)
-    if held:
-        yield batch_of(list(_order_group(held)))
 
+def _sorted_out(cell: int, singly: bool = False):
+    """Rows of CONTEXT_SCHEMA and cells -> a row for each cell or window of an entry.
 
-WINDOW_SCHEMA = "stem long, context long, n long, reach int, print binary"
+    A window reaches ``r`` bytes before its phrase start.  Cells lie at multiples of their
+    size, the same in every entry.  The core is what all windows of a cell share, also
+    those the entry does not have; the cover is what those it has lie in.
+    """
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in (batch.slice(i, 2_000) for i in range(0, batch.num_rows, 2_000)):
+                yield one_piece(some)
+
+    def one_piece(batch: pa.RecordBatch) -> pa.RecordBatch:
+        low, high = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+        texts = batch.column(5).to_pylist()
+        sizes = np.array([len(text) for text in texts], dtype=np.int64)
+        begins = np.cumsum(sizes) - sizes
+        if not singly:
+            first_cell = low // cell
+            counts = high // cell - first_cell + 1
+            owner = np.repeat(np.arange(len(texts)), counts)
+            number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            lowest = (number + first_cell[owner]) * cell
+            highest = lowest + cell - 1
+        else:
+            cells = batch.column(6)
+            owner = np.repeat(np.arange(len(texts)), np.diff(cells.offsets.to_numpy()))
+            starts = cells.flatten().to_numpy().astype(np.int64)
+            owner = np.repeat(owner, cell)
+            lowest = (starts[:, None] + np.arange(cell)).ravel()
+            inside = (lowest >= low[owner]) & (lowest <= high[owner])
+            owner, lowest = owner[inside], lowest[inside]
+            highest = lowest
+        first, last = np.maximum(lowest, low[owner]), np.minimum(highest, high[owner])
+        at = begins[owner] + high[owner]  # the phrase start
+        prints = _Prints(b"".join(texts))
+        stem = batch.column(0).to_numpy().view(np.uint64)[owner]
+        core = prints.of(0, at - lowest, at - highest + MATCH_BYTES)
+        core = _mixed(core ^ _mixed(stem ^ lowest.astype(np.uint64)))
+        cover = prints.of(1, at - last, at - first + MATCH_BYTES)
+        span = np.uint64(1 << 20) * last.astype(np.uint64) + first.astype(np.uint64)
+        cover = _mixed(cover ^ _mixed(span))
+        whose = pa.array(owner)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(core.view(np.int64)),
+                pa.array(cover.view(np.int64)),
+                *(batch.column(i).take(whose) for i in (0, 1, 4)),
+                pa.array(first, pa.int32()),
+                pa.array(last, pa.int32()),
+            ],
+            names=["core", "cover", "stem", "context", "n", "first", "last"],
+        )
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of CONTEXT_SCHEMA -> one row for each window, with its fingerprint."""
-    for batch in batches:
-        for stem, context, low, high, n, data in zip(*(c.to_pylist() for c in batch.columns)):
-            count = high - low + 1
-            prints = [
-                hashlib.blake2b(data[i : i + MATCH_BYTES], digest_size=16).digest()
-                for i in range(count)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([stem] * count),
-                    pa.array([context] * count),
-                    pa.array([n] * count),
-                    pa.array(range(high, low - 1, -1), pa.int32()),
-                    pa.array(prints),
-                ],
-                names=["stem", "context", "n", "reach", "print"],
-            )
+    return split
 
 
 REMOVAL_SCHEMA = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
 
 
 def _removed(data: bytes, whole: list[int], part: list[dict]) -> list[tuple[int, int]]:
-    """Spans of a text covered by repeated windows."""
+    """Spans of a text covered by repeated windows: of ``whole`` entries and of runs of them."""
     entries = Entries([data])
     _, group, sizes = entries.groups()
     change = np.zeros(len(data) + 1, dtype=np.int64)
     index = {at: k for k, at in enumerate(entries.at.tolist())}
     full = sizes >= 2
-    full[group[[index[place & 0xFFFFFFFF] for place in whole]]] = True
+    full[group[[index[place] for place in whole]]] = True
     chosen = full[group]
     np.add.at(change, (entries.at - entries.high)[chosen], 1)
     np.add.at(change, (entries.at - entries.low)[chosen] + MATCH_BYTES, -1)
     for entry in part:
-        at, runs = entry["place"] & 0xFFFFFFFF, entry["runs"]
+        at, runs = entry["place"], entry["runs"]
         for low, high in zip(runs[::2], runs[1::2]):
             change[at - high] += 1
             change[at - low + MATCH_BYTES] -= 1
@@ -326,24 +333,30 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _resolved(contexts: DataFrame) -> DataFrame:
-    """Repeated windows of the dictionary entries that share their stem."""
-    sizes = contexts.groupBy("stem").agg(F.count(F.lit(1)).alias("entries"))
-    sized = contexts.join(sizes, "stem").select(*contexts.columns, "entries")
-    small = sized.filter(F.col("entries") <= ENTRIES_IN_TASK).drop("entries")
-    ordered = (
-        small.repartition("stem").sortWithinPartitions("stem").mapInArrow(_order, ORDER_SCHEMA)
+    """Repeated windows of the dictionary entries that share their stem: ``stem, context, runs``.
+
+    ``runs`` holds the least and greatest reach of stretches of windows, one after the other.
+    """
+    cells = stored(contexts.mapInArrow(_sorted_out(CELL), NODE_SCHEMA), "cells")
+    cores = cells.groupBy("core").agg(
+        F.sum("n").alias("all"),
+        F.min("n").alias("rarest"),
+        (F.min("cover") != F.max("cover")).alias("mixed"),
     )
-    large = sized.filter(F.col("entries") > ENTRIES_IN_TASK).drop("entries")
-    windows = large.mapInArrow(_windows, WINDOW_SCHEMA)
-    again = windows.groupBy("stem", "print").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    counted = (
-        windows.filter("n < 2")
-        .join(again, ["stem", "print"], "left_semi")
-        .groupBy("stem", "context")
-        .agg(F.array_sort(F.collect_set("reach")).alias("reaches"))
-        .select("stem", "context", F.flatten(F.transform("reaches", lambda a: F.array(a, a))).alias("runs"))
+    # Entries that occur more than once are done; they only stand against the others.
+    open_ = cores.filter("all > 1 AND rarest < 2").select("core", "mixed")
+    kept = stored(cells.join(open_, "core"), "cells-open")
+    alike = kept.filter("NOT mixed AND n < 2").select("stem", "context", "first", "last")
+    split = kept.filter("mixed").groupBy("stem", "context").agg(
+        F.collect_set((F.floor(F.col("first") / CELL) * CELL).cast("int")).alias("cells")
     )
-    return ordered.unionByName(counted)
+    windows = contexts.join(split, ["stem", "context"]).select(*contexts.columns, "cells")
+    windows = stored(windows.mapInArrow(_sorted_out(CELL, singly=True), NODE_SCHEMA), "windows-open")
+    again = windows.groupBy("core", "cover").agg(F.sum("n").alias("all")).filter("all > 1")
+    single = windows.filter("n < 2").join(again, ["core", "cover"], "left_semi")
+    found = alike.unionByName(single.select("stem", "context", "first", "last"))
+    runs = F.flatten(F.collect_list(F.array("first", "last"))).alias("runs")
+    return found.groupBy("stem", "context").agg(runs)
 
 
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -358,9 +371,9 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     and may be null.  Other columns pass through, those of the added names are
     replaced.
     """
-    key = F.col(id_column).cast("long")
-    check = F.crc32(F.encode(text_of(text_column), "UTF-8")).bitwiseAND(0x7FFFFFFF)
-    source = docs.select(key.alias("id"), check.alias("check"), F.col(text_column).alias("text"))
+    key = F.xxhash64(F.col(id_column).cast("long"), text_of(text_column))
+    check = F.xxhash64(text_of(text_column))
+    source = docs.select(key.alias("key"), check.alias("sum"), F.col(text_column).alias("text"))
     parsed = source.mapInArrow(_parse, PARSE_SCHEMA)
     seen = (
         parsed.groupBy("stem")
@@ -371,45 +384,39 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     repeated = stored(parsed.join(seen, "stem"), "repeated")
     mixed = repeated.filter("mixed")
     entries = mixed.groupBy("stem", "context").agg(
-        F.sum("n").alias("n"), F.min(F.struct("place", "id")).alias("at")
+        F.sum("n").alias("n"), F.min(F.struct("place", "key", "sum")).alias("at")
     )
     dictionary = stored(entries, "dictionary")
     wanted = (
-        dictionary.select(
-            F.col("at.id").alias("id"),
-            F.shiftright("at.place", 32).alias("check"),
-            F.struct(F.col("at.place").alias("place"), "stem", "context", "n").alias("entry"),
-        )
-        .groupBy("id", "check")
+        dictionary.select("at.key", "at.sum", F.struct("at.place", "stem", "context", "n").alias("entry"))
+        .groupBy("key", "sum")
         .agg(F.collect_list("entry").alias("wanted"))
     )
     # Equal rows of docs hold the same contexts; one of them is enough.
-    texts = source.withColumnsRenamed({"id": "_id", "check": "_check"})
     contexts = (
-        texts.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("check") == F.col("_check")))
+        source.join(wanted, ["key", "sum"])
+        .dropDuplicates(["key", "sum"])
         .select("text", "wanted")
         .mapInArrow(_contexts, CONTEXT_SCHEMA)
-        .dropDuplicates(["stem", "context"])
     )
     partly = stored(_resolved(stored(contexts, "contexts")), "windows")
     one = dictionary.filter("n < 2").select("stem", "context")
     whole = repeated.filter(~F.col("mixed")).unionByName(
         mixed.join(one, ["stem", "context"], "left_anti").select(*repeated.columns)
     )
-    marks = whole.select("id", "place", F.lit(None).cast("array<int>").alias("runs")).unionByName(
-        mixed.join(partly, ["stem", "context"]).select("id", "place", "runs")
+    marks = whole.select("key", "sum", "place", F.lit(None).cast("array<int>").alias("runs")).unionByName(
+        mixed.join(partly, ["stem", "context"]).select("key", "sum", "place", "runs")
     )
-    found = marks.groupBy(
-        F.col("id").alias("__id"), F.shiftright("place", 32).alias("__check")
-    ).agg(
-        F.collect_list(F.when(F.col("runs").isNull(), F.col("place"))).alias("__whole"),
-        F.collect_list(F.when(F.col("runs").isNotNull(), F.struct("place", "runs"))).alias("__part"),
+    # Sets: equal rows bring equal marks.
+    found = marks.groupBy(F.col("key").alias("__id"), F.col("sum").alias("__check")).agg(
+        F.collect_set(F.when(F.col("runs").isNull(), F.col("place"))).alias("__whole"),
+        F.collect_set(F.when(F.col("runs").isNotNull(), F.struct("place", "runs"))).alias("__part"),
     )
     added = {column.split()[0] for column in REMOVAL_SCHEMA.split(", ")}
     others = [f for f in docs.schema if f.name != text_column and f.name not in added]
     joined = docs.withColumns({"__key": key, "__sum": check}).join(
         found,
-        F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__sum") == F.col("__check")),
+        (F.col("__key") == F.col("__id")) & (F.col("__sum") == F.col("__check")),
         "left",
     )
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in others] + [REMOVAL_SCHEMA]
@@ -419,5 +426,10 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 @shipped
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """What :func:`repeated_spans` finds in every document, without the spans.
+
+    Null, empty, long, tied and repeated texts are as stated there; an empty table gives no
+    rows and other columns are ignored.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return repeated_spans(docs).drop("spans")

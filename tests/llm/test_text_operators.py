@@ -255,13 +255,55 @@ def test_repeats_that_end_anywhere(spark):
     check_removal(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
-def test_large_stems_take_the_other_way(spark, monkeypatch):
+@pytest.mark.parametrize("cell", [1, 3, 8, 64])
+def test_many_entries_of_one_stem(spark, monkeypatch, cell):
+    """The size of cells decides where windows are compared, not what is found."""
     rows = [(i, prose(100 + i, 25) + prose(41, 120)[: 410 + i % 5] + prose(300 + i, 25)) for i in range(30)]
+    # Passages that begin at any place before a phrase start, so that cells are cut short.
+    rows += [(100 + i, prose(500 + i, 9) + prose(42, 130)[i % 45 : 520] + prose(700 + i, 9)) for i in range(60)]
+    monkeypatch.setattr(prefix_free, "CELL", cell)
+    check_removal(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_texts_of_one_id_and_of_none(spark):
+    """Texts are told apart whatever their ids, also where short checksums agree."""
+    one, other = "one " * 3, "two " * 3
+    by_sum = {}
+    for k in range(200_000):
+        text = f"{k:x}"
+        clash = by_sum.setdefault(zlib.crc32(text.encode()) & 0xFFFF, text)
+        if clash != text:
+            break
+    passage = prose(60, 150)
+    rows = [(None, clash + passage), (None, text + prose(61, 90)), (7, one + passage), (7, other + prose(62, 90))]
+    check_removal(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_thousands_of_equal_rows(spark):
+    long, short = prose(70, 120), prose(71, 20)
+    rows = [(None, long)] * 5_000 + [(3, long)] * 5_000 + [(None, short), (4, prose(72, 30) + long[50:700])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = prefix_free.repeated_spans(docs).groupBy("doc_id", "n_bytes", "n_removed").count().collect()
+    size = len(long.encode())
+    found = {(r["doc_id"], r["n_bytes"], r["n_removed"]): r["count"] for r in got}
+    assert found[None, size, size] == found[3, size, size] == 5_000
+    assert found[None, len(short.encode()), 0] == 1
+    assert [n for (i, _, n) in found if i == 4] == [len(long[50:700].encode())]
+
+
+def test_planted_passages_are_removed_and_clean_texts_kept(spark):
+    """Recall 1.00 by n_removed on passages of 400 bytes and more, nothing from clean texts."""
+    clean = [(i, prose(2_000 + i, 150)) for i in range(120)]
+    planted = []
+    for i in range(60):
+        passage = prose(5_000 + i % 20, 200)
+        passage = passage[: 400 + 7 * (i % 20)]
+        planted.append((1_000 + i, prose(3_000 + i, 40) + "|" + passage + "|" + prose(4_000 + i, 40), len(passage.encode())))
+    rows = clean + [row[:2] for row in planted]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    expected = pairs_of(prefix_free.repeated_spans(docs), "doc_id", "n_removed", "kept_sha256")
-    monkeypatch.setattr(prefix_free, "ENTRIES_IN_TASK", 2)
-    assert pairs_of(prefix_free.repeated_spans(docs), "doc_id", "n_removed", "kept_sha256") == expected
-    check_removal(docs)
+    found = {r["doc_id"]: r["n_removed"] for r in prefix_free.repeated_spans(docs).collect()}
+    assert all(found[i] == 0 for i, _ in clean)
+    assert all(found[i] >= size for i, _, size in planted)
 
 
 # --- tokens ----------------------------------------------------------------------

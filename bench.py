@@ -1,7 +1,7 @@
 """Wall time of every registered query of the reference's operators.
 
 Reads ``BENCH_SF_DIR``, ``BENCH_CPUS`` and ``BENCH_RUNS``; prints one JSON line.  The names
-in ``BENCH_ONLY``, if set, are the queries to time.
+in ``BENCH_ONLY``, if set, are the queries to time.  ``BENCH_LAZY`` adds the second form.
 Results go to Spark's no-op sink, so every row is computed and none collected.
 Two forms are timed: ``queries`` on an archive that is typed and stored first (warm,
 median of the runs), and ``lazy`` straight on the given table, once.  ``value`` is
@@ -53,7 +53,9 @@ def main() -> None:
             timings[name] = round(
                 statistics.median(seconds(build, spark, archive) for _ in range(runs)), 3
             )
-        lazy = {name: seconds(build, spark, sf_dir) for name, build in chosen.items()}
+        lazy = {}
+        if os.environ.get("BENCH_LAZY"):
+            lazy = {name: seconds(build, spark, sf_dir) for name, build in chosen.items()}
         spark.stop()
     print(
         json.dumps(

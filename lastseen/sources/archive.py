@@ -11,6 +11,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -91,16 +93,16 @@ def typed_with_unparsed(raw: DataFrame) -> DataFrame:
     """:func:`typed_inventory` with the text that became null kept in a map."""
     before = raw.withColumns({f"_{name}": F.col(name) for name in TYPED_FIELDS})
     typed = typed_inventory(before)
-    lost = F.map_filter(
-        F.create_map(*(c for name in TYPED_FIELDS for c in (F.lit(name), F.col(f"_{name}")))),
-        lambda _, text: text.isNotNull(),
-    )
-    parsed = F.create_map(
-        *(c for name in TYPED_FIELDS for c in (F.lit(name), F.col(name).isNotNull()))
-    )
-    lost = F.map_filter(lost, lambda name, _: ~F.element_at(parsed, name))
-    kept = typed.withColumn(UNPARSED, F.when(F.size(lost) > 0, lost))
-    return kept.drop(*(f"_{name}" for name in TYPED_FIELDS))
+    lost = {
+        name: F.col(f"_{name}").isNotNull() & F.col(name).isNull() for name in TYPED_FIELDS
+    }
+    texts = [
+        F.when(failed, F.struct(F.lit(name).alias("key"), F.col(f"_{name}").alias("value")))
+        for name, failed in lost.items()
+    ]
+    kept = F.map_from_entries(F.array_compact(F.array(*texts)))
+    marked = typed.withColumn(UNPARSED, F.when(reduce(or_, lost.values()), kept))
+    return marked.drop(*(f"_{name}" for name in TYPED_FIELDS))
 
 
 def rejected(typed: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 def test_bench_prints_one_line():
     done = subprocess.run(
         [sys.executable, f"{ROOT}/bench.py"],
-        env={**os.environ, "BENCH_SF_DIR": SF_DIRS["small"], "BENCH_CPUS": "4", "BENCH_ONLY": ",".join(SOME)},
+        env={**os.environ, "BENCH_LAZY": "1", "BENCH_SF_DIR": SF_DIRS["small"], "BENCH_CPUS": "4", "BENCH_ONLY": ",".join(SOME)},
         capture_output=True,
         text=True,
         timeout=900,

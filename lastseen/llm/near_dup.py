@@ -10,8 +10,9 @@
    far below the threshold leave.
 4. The rest is confirmed on the full shingle sets.
 5. Connected components of the links.  Where a bucket still holds classes of
-   different components, those outside its largest component are compared with the
-   others too, so that no link between different texts is lost: by odd sketches of
+   different components, those outside its largest component are first compared with a
+   few members of it, one a turn, which joins most that belong there.  What is still
+   apart then is compared with the others too, so that no link between different texts is lost: by odd sketches of
    many more samples, inside the join, so that only close pairs leave it.  A first
    round confirms the closest few of each class, which joins nearly all that belong
    together; a second one all that are left between components.
@@ -37,6 +38,8 @@ SKETCH_BITS = 512
 FINE_SAMPLES, FINE_BITS = 1024, 2048
 #: Standard errors a candidate's estimate may lie below the threshold.
 SLACK = 6.5
+#: Members of a bucket's largest component that the classes outside it are compared with.
+HUBS = 5
 #: Partners that a class has confirmed in the first round of step 5.
 CLOSEST = 4
 
@@ -277,6 +280,25 @@ def _split_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(placed.join(split.select("key"), "key", "left_semi"), "split-buckets")
 
 
+def _mains(split: DataFrame) -> DataFrame:
+    """The largest component of each bucket: ``key, main``."""
+    parts = split.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    return parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
+
+
+def _to_hubs(split: DataFrame, turn: int) -> DataFrame:
+    """Pairs a, b of the classes outside a bucket's largest component with a member of it.
+
+    Another member each turn, so a class that misses one hub may meet the next.
+    """
+    sided = split.join(_mains(split), "key")
+    inside = sided.filter(F.col("root") == F.col("main"))
+    order = F.struct(F.xxhash64(F.lit(turn), "node").alias("order"), F.col("node").alias("hub"))
+    hubs = inside.groupBy("key").agg(F.min(order).alias("first")).select("key", "first.hub")
+    met = sided.filter(F.col("root") != F.col("main")).join(hubs, "key")
+    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
 def _across(split: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs p, q of a bucket's classes that lie in different components and look close.
 
@@ -284,9 +306,7 @@ def _across(split: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     there is nothing left to find.  A pair is taken from the first bucket that its
     classes share.  The conditions are part of the join: what fails is not emitted.
     """
-    parts = split.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-    sided = split.join(main, "key").join(sketches, "node")
+    sided = split.join(_mains(split), "key").join(sketches, "node")
     asking = sided.filter(F.col("root") != F.col("main")).select(
         F.col("key").alias("p_key"),
         F.col("node").alias("p"),
@@ -349,11 +369,17 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     links = _confirmed(pairs, _shingle_sets(ends.distinct(), rows, classes, words, False), percent)
     labels = components(links)
-    sets = None
+    split = _split_buckets(buckets.select("band", "key", "node"), labels)
+    sets = _shingle_sets(split.select("node").distinct(), rows, classes, words, True)
+    for turn in range(HUBS):
+        fresh = stored(_to_hubs(split, turn).join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = _confirmed(_estimated(fresh, classes, percent), sets, percent)
+        tested = tested.unionByName(fresh)
+        if more.isEmpty():
+            break
+        labels = merged(labels, more)
+        split = _split_buckets(split.drop("root"), labels)
     for closest in (CLOSEST, None):
-        split = _split_buckets(buckets.select("band", "key", "node"), labels)
-        if sets is None:
-            sets = _shingle_sets(split.select("node").distinct(), rows, classes, words, True)
         sketches = sets.select("node", "fine").join(classes.select("node", "bands"), "node")
         across = _across(split, sketches, percent)
         if closest:
@@ -365,6 +391,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         if not more.isEmpty():
             labels = merged(labels, more)
         tested = tested.unionByName(fresh)
+        split = _split_buckets(split.drop("root"), labels)
     placed = classes.select("node", "first_id").join(labels, "node", "left")
     rooted = placed.select("node", "first_id", F.coalesce("root", "node").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("name"))

@@ -5,11 +5,14 @@ overlapping candidates per kind; boosted trees score each by its format and
 context; candidates above their kind's calibrated threshold become spans too.
 Base spans always stay, and no added span overlaps one.
 
-The trees learn from the corpus itself.  A candidate is positive if it is a base
-span of its kind, negative if its check fails (card number, address parts) or if it
-overlaps a base span of another kind, and otherwise unlabelled.  Features are small
-codes, so all candidates of a corpus, of any size, fold into a table of at most
-``CELLS`` rows of counts; that table is what training looks at.
+The trees learn from the verdicts of the base rules.  A candidate is positive if it is
+a base span of its kind; negative if it overlaps one otherwise (wrong bounds or kind) or
+if a base pattern matched exactly it and the rule dropped it; and unlabelled if no rule
+looked at it by itself: written another way, or swallowed by a longer match that was
+dropped, as where two card numbers stand next to each other.  The trees decide on those.
+Features are small codes, so all candidates of a corpus, of any size, fold into a table
+of at most ``FOLDS * CELLS`` rows of counts; that table is what training looks at.
+Thresholds rest on scores that come from trees fitted to other texts (``FOLDS``).
 
 Only DataFrame functions touch the texts: one pass, no shuffle of text.  Positions
 are code points, ends exclusive.
@@ -39,14 +42,25 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
-# What the generators propose: obfuscated, bracketed, dotted and unprefixed forms too.
+# What the generators propose: obfuscated, bracketed, dotted and unprefixed forms, and
+# the parts of longer runs.  Those of a kind may overlap.
 _AT = r"(?:@|\x20?(?:\[at\]|\(at\)|\{at\})\x20?|\x20at\x20)"
 _DOT = r"(?:\.|\x20?(?:\[dot\]|\(dot\)|\{dot\})\x20?|\x20dot\x20)"
 GENERATORS = {
-    "email": rf"(?<!{_MAIL}){_MAIL}{{1,64}}+{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,8}}+",
-    "ip": r"(?<![0-9.])[0-9]{1,4}+(?:(?:\.|\[\.\]|\(\.\)|\[dot\])[0-9]{1,4}+){3}",
-    "card": r"(?<![0-9])[0-9](?:[\x20._/-]{0,2}+[0-9]){12,22}+",
-    "phone": r"(?<![0-9A-Za-z.])(?:\+|00)?\(?[0-9](?:[\x20().-]{0,3}+[0-9]){7,16}+",
+    "email": (
+        rf"(?<!{_MAIL}){_MAIL}{{1,64}}+{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,8}}+",
+    ),
+    "ip": (r"(?<![0-9.])[0-9]{1,4}+(?:(?:\.|\[\.\]|\(\.\)|\[dot\])[0-9]{1,4}+){3}",),
+    "card": (
+        r"(?<![0-9])[0-9](?:[\x20._/-]{0,2}+[0-9]){12,22}+",
+        r"(?<![0-9])[0-9]{13,19}+(?![0-9])",
+        r"(?<![0-9])[0-9]{4}(?:[\x20._/-][0-9]{4}){3}(?![0-9])",
+    ),
+    "phone": (
+        r"(?<![0-9A-Za-z.])(?:\+|00)?\(?[0-9](?:[\x20().-]{0,3}+[0-9]){7,16}+",
+        r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{1,4}\)?(?:[\x20.-][0-9]{2,4}){2}(?![0-9])",
+        r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{1,4}\)?(?:[\x20.-][0-9]{2,4}){3}(?![0-9])",
+    ),
 }
 # A text without these is not searched.
 GUARDS = {"email": r"@|[\[({\x20]at[\])}\x20]", "ip": r"[0-9](?:\.|\[|\()", "card": r"[0-9]", "phone": r"[0-9]"}
@@ -71,6 +85,8 @@ FEATURES = {
 #: Most rows of the table that training collects.
 CELLS = math.prod(FEATURES.values())
 ROUNDS, RATE, LEAST_WEIGHT = 40, 0.3, 1.0
+#: Parts of the texts; each is scored by trees fitted to the others, for the thresholds.
+FOLDS = 2
 #: Share of true spans wanted above a threshold, and labelled spans it must rest on.
 PRECISION, SUPPORT = 0.99, 20
 
@@ -150,8 +166,15 @@ def _side(character: Column) -> Column:
     )
 
 
+def _place(span: Column) -> Column:
+    return span["start"].cast("long") * 2**32 + span["end"]
+
+
 def _candidate(kind: str, text: Column, base: dict[str, Column], span: Column) -> Column:
-    """Feature codes of a candidate, and its label (null: unlabelled)."""
+    """Feature codes of a candidate, and its label (null: unlabelled).
+
+    ``__matched`` holds the places of all base matches, dropped ones included.
+    """
     match, start, end = span["match"], span["start"], span["end"]
     digits = _digits(match)
     n = F.char_length(digits)
@@ -168,7 +191,7 @@ def _candidate(kind: str, text: Column, base: dict[str, Column], span: Column) -
     }[kind]
     overlaps = lambda spans: F.exists(spans, lambda b: (b["start"] < end) & (b["end"] > start))
     same = F.exists(base[kind], lambda b: (b["start"] == start) & (b["end"] == end))
-    foreign = reduce(lambda a, b: a | b, (overlaps(base[k]) for k in KINDS if k != kind))
+    covered = reduce(lambda a, b: a | b, map(overlaps, base.values()))
     return F.struct(
         start.alias("start"),
         end.alias("end"),
@@ -180,8 +203,10 @@ def _candidate(kind: str, text: Column, base: dict[str, Column], span: Column) -
         _side(text.substr(end + 1, F.lit(1))).alias("after"),
         F.when(context.rlike(CUES[kind]), 1).when(context.rlike(others), 2).otherwise(0).alias("cue"),
         check.cast("int").alias("check"),
-        F.when(same, 1).when(foreign | ~check, 0).alias("label"),
-        (foreign | overlaps(base[kind])).alias("covered"),
+        F.when(same, 1)
+        .when(covered | F.array_contains("__matched", _place(span)), 0)
+        .alias("label"),
+        covered.alias("covered"),
     )
 
 
@@ -205,18 +230,33 @@ def found_spans(docs: DataFrame, *carried: str) -> DataFrame:
     rows = rows.withColumns({f"__has_{k}": text.rlike(GUARDS[k]) for k in KINDS})
     rows = rows.withColumns({f"__m_{k}": located(text, BASE[k], F.col(f"__has_{k}")) for k in KINDS})
     rows = rows.withColumns({k: F.filter(f"__m_{k}", _valid_of(k)) for k in KINDS})
-    rows = rows.withColumns({f"__g_{k}": located(text, GENERATORS[k], F.col(f"__has_{k}")) for k in KINDS})
+    rows = rows.withColumn("__matched", F.concat(*(F.transform(f"__m_{k}", _place) for k in KINDS)))
+    generated = {
+        k: F.array_distinct(F.concat(*(located(text, g, F.col(f"__has_{k}")) for g in GENERATORS[k])))
+        for k in KINDS
+    }
+    rows = rows.withColumns({f"__g_{k}": spans for k, spans in generated.items()})
     base = {k: F.col(k) for k in KINDS}
     proposed = [F.transform(f"__g_{k}", _candidate_of(k, text, base)) for k in KINDS]
+    fold = F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int").alias("__fold")
     plain = {k: F.transform(k, lambda s: F.struct(s["start"], s["end"])).alias(k) for k in KINDS}
-    return rows.select(*carried, *plain.values(), F.concat(*proposed).alias("candidates"))
+    return rows.select(*carried, *plain.values(), F.concat(*proposed).alias("candidates"), fold)
+
+
+def _length_code(candidate):
+    return candidate["kind"] * FEATURES["digits"] + candidate["digits"]
 
 
 class Trees:
-    """Boosted trees of depth two over feature codes, for the logistic loss."""
+    """Boosted trees of depth two over feature codes, for the logistic loss.
+
+    ``lengths`` are the lengths that true spans of a kind had; of others the trees saw
+    nothing true, and their score would be a guess.
+    """
 
     def __init__(self, cells: list[dict]):
         """``cells``: feature codes with counts ``yes`` and ``no``."""
+        self.lengths = sorted({_length_code(c) for c in cells if c["yes"]})
         total = sum(c["yes"] + c["no"] for c in cells)
         yes = sum(c["yes"] for c in cells)
         share = min(max((yes + 0.5) / (total + 1.0), 1e-6), 1 - 1e-6)
@@ -290,13 +330,14 @@ class Trees:
         return reduce(lambda a, b: a + b, map(nested, self.trees), F.lit(float(self.start)))
 
 
-def calibrated(trees: Trees, cells: list[dict]) -> list[float]:
-    """Per kind, the lowest score above which spans are true often enough."""
+def _limits(scored: list[tuple[int, float, int, int]]) -> list[float]:
+    """Per kind, the lowest score above which spans are true often enough.
+
+    ``scored``: kind, score, and numbers of true and false spans.
+    """
     limits = []
     for kind in range(len(KINDS)):
-        own = sorted(
-            ((trees.score(c), c["yes"], c["no"]) for c in cells if c["kind"] == kind), reverse=True
-        )
+        own = sorted(((score, y, n) for k, score, y, n in scored if k == kind), reverse=True)
         limit, yes, no = math.inf, 0, 0
         for i, (score, y, n) in enumerate(own):
             yes, no = yes + y, no + n
@@ -307,17 +348,30 @@ def calibrated(trees: Trees, cells: list[dict]) -> list[float]:
     return limits
 
 
+def _scored(trees: Trees, cells: list[dict]) -> list[tuple[int, float, int, int]]:
+    return [(c["kind"], trees.score(c), c["yes"], c["no"]) for c in cells]
+
+
+def calibrated(trees: Trees, cells: list[dict]) -> list[float]:
+    """Per kind, the threshold over the scores that these trees give these cells."""
+    return _limits(_scored(trees, cells))
+
+
 def trained(found: DataFrame) -> tuple[Trees, list[float]]:
+    """Trees fitted to all texts, and thresholds from scores of texts kept out of a fit."""
     cells = (
-        found.select(F.explode("candidates").alias("c"))
+        found.select("__fold", F.explode("candidates").alias("c"))
         .filter("c.label IS NOT NULL")
-        .groupBy(*(F.col(f"c.{name}").alias(name) for name in FEATURES))
+        .groupBy("__fold", *(F.col(f"c.{name}").alias(name) for name in FEATURES))
         .agg(F.sum("c.label").alias("yes"), F.sum(1 - F.col("c.label")).alias("no"))
-        .orderBy(*FEATURES)
+        .orderBy("__fold", *FEATURES)
     )
-    rows = [row.asDict() for row in cells.collect()]  # at most CELLS rows
-    trees = Trees(rows)
-    return trees, calibrated(trees, rows)
+    rows = [row.asDict() for row in cells.collect()]  # at most FOLDS * CELLS rows
+    scored = []
+    for fold in range(FOLDS):
+        kept_out = [c for c in rows if c["__fold"] == fold]
+        scored += _scored(Trees([c for c in rows if c["__fold"] != fold]), kept_out)
+    return Trees(rows), _limits(scored)
 
 
 def _listed(kind: str, spans: Column) -> Column:
@@ -331,15 +385,20 @@ def personal_spans(docs: DataFrame, *carried: str) -> DataFrame:
     """The carried columns and, per text, base and added spans.
 
     ``email``, ``ip``, ``card`` and ``phone`` are the base spans, ``added`` the
-    spans of the method with their kind.  Null texts are empty.  Of overlapping
-    candidates the one of the higher score stays, of equal ones the earlier, then
-    the longer, then the first kind.
+    spans of the method with their kind.  Null texts are empty; texts of any length are
+    read whole; every row counts, repeated ones too.  Of overlapping candidates the one
+    of the higher score stays, of equal ones the earlier, then the longer, then the
+    first kind.  A table without labelled candidates adds nothing.  No carried column
+    may have the name of a kind or ``added``.
     """
+    clashing = {c.lower() for c in carried} & {*KINDS, "added", "candidates"}
+    if clashing:
+        raise ValueError(f"rename these columns first: {sorted(clashing)}")
     found = stored(found_spans(docs, *carried), "personal-spans")
     trees, limits = trained(found)
     limit = lambda c: F.element_at(F.array(*map(F.lit, limits)), c["kind"] + 1)
     scored = F.transform(
-        F.filter("candidates", lambda c: ~c["covered"]),
+        F.filter("candidates", lambda c: ~c["covered"] & _length_code(c).isin(trees.lengths)),
         lambda c: F.struct(
             (-trees.column(c)).alias("rank"),
             c["start"].alias("start"),
@@ -366,6 +425,11 @@ def personal_spans(docs: DataFrame, *carried: str) -> DataFrame:
 
 
 def op1_personal_data(spark, sf_dir: str) -> DataFrame:
+    """Counts and places of personal data in every document.
+
+    Null and empty texts have none.  Each row is answered by itself, so ids may be null
+    or repeat; an empty table gives no rows.  Columns beside doc_id and text are not read.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = personal_spans(docs, "doc_id")
     base = F.concat(*(_listed(k, F.col(k)) for k in KINDS))

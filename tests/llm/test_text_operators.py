@@ -68,6 +68,13 @@ def base_spans(text):
     ]
 
 
+def luhn_card(stem):
+    return next(f"{stem}{d}" for d in range(10) if is_valid("card", f"{stem}{d}"))
+
+
+WORDS = ("und", "das", "ist", "so")
+CARDS = [luhn_card(str(4_310_082_329_322_59 + 7_919 * i).zfill(15)) for i in range(20)]
+
 TRICKY = [
     "a@b.c_d@e.f",
     "..@a.b a@@b.c a@b..c -@-.- x@y.z@w.v",
@@ -98,7 +105,8 @@ def test_query_digest(spark):
         listed = [f"{k}:{a}:{b}" for k, a, b in base_spans(texts[row["doc_id"]])]
         assert row["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
         assert set(listed) <= set(row["spans"].split(",")) | {""} or not listed
-        assert row["n_phone"] == sum(x.startswith("phone") for x in listed)
+        for kind in personal_data.KINDS:
+            assert row[f"n_{kind}"] == sum(x.startswith(kind) for x in listed)
 
 
 def test_obfuscated_forms_are_found_once_learned(spark):
@@ -111,6 +119,50 @@ def test_obfuscated_forms_are_found_once_learned(spark):
     assert added[201] == []
 
 
+def test_numbers_that_a_longer_match_swallows_are_added(spark):
+    """The base rules take two numbers as one and drop it; the trees learned from others."""
+    cards = [CARDS[i % len(CARDS)] for i in range(240)]
+    rows = [(i, f"die {card} {WORDS[i % 4]}") for i, card in enumerate(cards)]
+    rows += [(1000 + i, f"die {int(card) ^ 1:016d} {WORDS[i % 4]}") for i, card in enumerate(cards)]
+    rows += [(2000 + i, f"die +1 ({200 + i}) 555-{8000 + i} {WORDS[i % 4]}") for i in range(240)]
+    rows += [
+        (5500, f"die {CARDS[0]} {CARDS[1]} ende"),
+        (5501, f"die {CARDS[0]} {int(CARDS[1]) ^ 1:016d} ende"),
+        (5502, "die +1 (826) 555-4081 190.137.223.204 ende"),
+        (5503, f"die {int(CARDS[0]) ^ 1:016d} {int(CARDS[1]) ^ 1:016d} ende"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = personal_data.personal_spans(docs, "doc_id", "text").collect()
+    added = {r["doc_id"]: [(personal_data.KINDS[k], r["text"][a:b]) for a, b, k in r["added"]] for r in found}
+    assert sorted(added[5500]) == sorted(("card", c) for c in CARDS[:2])
+    assert added[5501] == [("card", CARDS[0])]
+    assert added[5502] == [("phone", "+1 (826) 555-4081")]
+    assert added[5503] == []
+    assert not any(added[i] for i in added if i < 5500)
+
+
+def test_added_spans_of_the_driver_table(spark):
+    """Every added card passes the checksum, and each is a part of a match that was dropped."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = personal_data.personal_spans(docs, "doc_id", "text").filter("size(added) > 0").collect()
+    added = [(r["text"], a, b, personal_data.KINDS[k]) for r in found for a, b, k in r["added"]]
+    assert {kind for *_, kind in added} == {"card", "phone"}
+    expected = set()
+    for text in {r["text"] for r in docs.select("text").collect() if r["text"]}:
+        base = base_spans(text)
+        for kind, pattern in (("card", r"(?<![0-9])[0-9]{16}(?![0-9])"), ("phone", r"\+1 \([0-9]{3}\) 555-[0-9]{4}")):
+            for m in re.finditer(pattern, text):
+                free = all(m.end() <= a or m.start() >= b for _, a, b in base)
+                if free and (kind == "phone" or is_valid("card", m.group())):
+                    expected.add((text, m.start(), m.end(), kind))
+    assert set(added) == expected
+
+
+def test_personal_data_clashing_names(spark, corpora):
+    with pytest.raises(ValueError):
+        personal_data.personal_spans(corpora[0].withColumnRenamed("source", "phone"), "doc_id", "phone")
+
+
 def test_trees_separate_and_calibrate():
     cells = [dict.fromkeys(personal_data.FEATURES, 0) | {"kind": 2, "check": c, "yes": 90 * c, "no": 50 * (1 - c)} for c in (0, 1)]
     trees = personal_data.Trees(cells)

@@ -12,9 +12,12 @@
 5. Connected components of the links.  Where a bucket still holds classes of
    different components, those outside its largest component are compared with the
    others too, so that no link between different texts is lost: by odd sketches of
-   many more samples, inside the join, so that only close pairs leave it.  A first
-   round confirms the closest few of each class, which joins nearly all that belong
-   together; a second one all that are left between components.
+   many more samples and by one of the whole set, inside the join, so that only close
+   pairs leave it.  The bits in which two whole sketches differ are never more than the
+   shingles in which the sets do, so that test loses nothing, and for sets up to a few
+   thousand shingles hardly a pair below the threshold passes it.  A first round
+   confirms the closest few of each class, which joins nearly all that belong together;
+   a second one all that are left between components.
 """
 
 from __future__ import annotations
@@ -97,20 +100,44 @@ def min_hashes(shingles: np.ndarray, count: int = SAMPLES) -> np.ndarray:
     return lowest
 
 
+def _parities(prints: np.ndarray, size: int) -> np.ndarray:
+    odd = np.bincount((prints % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def odd_sketch(samples: np.ndarray, size: int = SKETCH_BITS) -> np.ndarray:
     """Parities of the samples that fall on each bit, as signed 64-bit words."""
-    bits = (_mixed(samples ^ _TURN[: len(samples)]) % np.uint64(size)).astype(np.int64)
-    odd = np.bincount(bits, minlength=size) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return _parities(_mixed(samples ^ _TURN[: len(samples)]), size)
+
+
+def whole_sketch(shingles: np.ndarray, size: int = FINE_BITS) -> np.ndarray:
+    """The same of all shingles of a set."""
+    return _parities(_mixed(shingles), size)
+
+
+def differing_bits(one: str, other: str, bits: int) -> Column:
+    """Number of bits in which two sketch columns differ."""
+    words = (
+        F.bit_count(F.get(one, F.lit(i)).bitwiseXOR(F.get(other, F.lit(i)))) for i in range(bits // 64)
+    )
+    return sum(words, F.lit(0))
+
+
+def may_link(one: str, other: str, size: str, other_size: str, percent: int) -> Column:
+    """Whether sketches of whole sets, and their sizes, leave a link possible.
+
+    Linked sets differ in at most (100 - percent) / (100 + percent) of the sum of their
+    sizes.
+    """
+    most = (100 - percent) * (F.col(size) + F.col(other_size))
+    return ((100 + percent) * F.abs(F.col(size) - F.col(other_size)) <= most) & (
+        (100 + percent) * differing_bits(one, other, FINE_BITS) <= most
+    )
 
 
 def estimate(one: str, other: str, samples: int = SAMPLES, bits: int = SKETCH_BITS) -> Column:
     """Similarity from the number of bits in which two sketch columns differ."""
-    differing = sum(
-        (F.bit_count(F.get(one, F.lit(i)).bitwiseXOR(F.get(other, F.lit(i)))) for i in range(bits // 64)),
-        F.lit(0),
-    )
-    share = F.greatest(1 - 2 * differing / F.lit(float(bits)), F.lit(1e-9))
+    share = F.greatest(1 - 2 * differing_bits(one, other, bits) / F.lit(float(bits)), F.lit(1e-9))
     return 1 + F.lit(bits / (4 * samples)) * F.log(share)
 
 
@@ -152,16 +179,16 @@ def _signatures(words: int):
     return work
 
 
-SET_SCHEMA = "node binary, shingles binary, fine array<long>"
+SET_SCHEMA = "node binary, shingles binary, fine array<long>, whole array<long>"
 
 
 def _sets(words: int, fine: bool):
-    """Columns node, text -> node, shingles and fine sketch; texts of another set
-    are passed over."""
+    """Columns node, text -> node, shingles and sketches; texts of another set are
+    passed over."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sets, sketches = [], [], []
+            nodes, sets, sketches, wholes = [], [], [], []
             for node, text in zip(batch.column(0), batch.column(1)):
                 shingles = shingle_set(text.as_py(), words)
                 data = shingles.tobytes()
@@ -170,10 +197,12 @@ def _sets(words: int, fine: bool):
                     sets.append(data)
                     samples = min_hashes(shingles, FINE_SAMPLES) if fine else None
                     sketches.append(odd_sketch(samples, FINE_BITS) if fine else None)
-            types = (pa.binary(), pa.binary(), pa.list_(pa.int64()))
+                    wholes.append(whole_sketch(shingles) if fine else None)
+            longs = pa.list_(pa.int64())
+            types = (pa.binary(), pa.binary(), longs, longs)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(v, t) for v, t in zip((nodes, sets, sketches), types)],
-                names=["node", "shingles", "fine"],
+                [pa.array(v, t) for v, t in zip((nodes, sets, sketches, wholes), types)],
+                names=["node", "shingles", "fine", "whole"],
             )
 
     return work
@@ -292,9 +321,13 @@ def _across(split: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         F.col("node").alias("p"),
         F.col("root").alias("p_root"),
         F.col("fine").alias("p_fine"),
+        F.col("whole").alias("p_whole"),
+        F.col("size").alias("p_size"),
         F.col("bands").alias("p_bands"),
     )
-    close = estimate("p_fine", "fine", FINE_SAMPLES, FINE_BITS) >= least_estimate(percent, FINE_SAMPLES)
+    close = may_link("p_whole", "whole", "p_size", "size", percent) & (
+        estimate("p_fine", "fine", FINE_SAMPLES, FINE_BITS) >= least_estimate(percent, FINE_SAMPLES)
+    )
     earlier = F.exists(
         F.slice(F.zip_with("p_bands", "bands", lambda x, y: x == y), F.lit(1), F.col("band")),
         lambda same: same,
@@ -354,7 +387,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         split = _split_buckets(buckets.select("band", "key", "node"), labels)
         if sets is None:
             sets = _shingle_sets(split.select("node").distinct(), rows, classes, words, True)
-        sketches = sets.select("node", "fine").join(classes.select("node", "bands"), "node")
+        size = (F.octet_length("shingles") / 8).cast("long").alias("size")
+        sketches = sets.select("node", "fine", "whole", size).join(classes.select("node", "bands"), "node")
         across = _across(split, sketches, percent)
         if closest:
             order = Window.partitionBy("p").orderBy(F.col("likeness").desc(), "q")
@@ -392,6 +426,12 @@ def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> D
 
 @shipped
 def op2_near_dup(spark, sf_dir: str) -> DataFrame:
+    """One row per document with its group, by three-word shingles and 85 %.
+
+    Null texts and texts without words have size 0 and stand alone; null ids have a null
+    component and are kept; equal texts share a group, named by the smallest id; an empty
+    table gives no rows.  Columns beside doc_id and text are not read.
+    """
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
 
 

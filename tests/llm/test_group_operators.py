@@ -100,6 +100,32 @@ def test_odd_sketches_estimate_similarity():
         assert abs(found - shared / 3000) < 0.05
 
 
+def test_whole_sketches_rule_out_no_link(spark):
+    """The test of whole sets keeps every link, and little else about the threshold."""
+    chance = np.random.default_rng(11)
+    rows = []
+    for size in (1, 7, 40, 300, 2500, 30_000):
+        for edits in {0, 1, size // 14, size // 13, size // 12, size // 11, size // 9}:
+            one = np.unique(chance.integers(0, 2**64, size, dtype=np.uint64))
+            other = np.concatenate((one[edits:], chance.integers(0, 2**64, edits, dtype=np.uint64)))
+            linked = 100 * (size - edits) >= 85 * (size + edits)
+            sketches = [near_dup.whole_sketch(x).tolist() for x in (one, other)]
+            rows.append((size, linked, *sketches, size, len(other)))
+    frame = spark.createDataFrame(rows, "n int, linked boolean, a array<long>, b array<long>, x long, y long")
+    kept = frame.select("n", "linked", near_dup.may_link("a", "b", "x", "y", 85).alias("kept")).collect()
+    assert all(r["kept"] for r in kept if r["linked"])
+    assert sum(r["kept"] for r in kept if not r["linked"] and r["n"] <= 2500) <= 4
+
+
+def test_dense_groups_below_the_threshold_stay_apart(spark):
+    """Many texts that are all alike, but not enough, and links among some of them."""
+    rows = [(i, family(7, 100 + i, 5)) for i in range(150)]
+    rows += [(500 + i, family(7, 100 + i, 5) + f" end{i}") for i in range(0, 150, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pairs_of(near_dup.near_groups(docs, 3, 85), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == sorted(plain_groups(rows, 3, 85), key=repr)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(bytes([i]), bytes([i + 1])) for i in range(40)] + [(bytes([100]), bytes([101 + i])) for i in range(30)]
     labels = near_dup.components(spark.createDataFrame(links, "a binary, b binary"))

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,9 +52,16 @@ def operator_of(name: Column, default: str | None = OTHER_OPERATOR) -> Column:
 
 
 def operated_by(name: Column, labels: Sequence[str]) -> Column:
-    """True when any chosen rule matches; rules are not exclusive here."""
-    conditions = operator_conditions(name)
-    return reduce(or_, (conditions[label] for label in labels))
+    """True when any chosen rule matches; rules are not exclusive here.
+
+    One pattern for all of them: a filter is evaluated at the source, where ``name`` may be
+    a long expression, and a copy of it for each rule makes code too large to be compiled.
+    """
+    patterns = {
+        label: f"^(?!.*{re.escape(excluded)}).*{re.escape(wanted)}" if excluded else re.escape(wanted)
+        for label, wanted, excluded in OPERATOR_RULES
+    }
+    return F.lower(name).rlike("(?s)" + ("|".join(patterns[label] for label in labels) or "(?!)"))
 
 
 def operator_group(name: Column) -> Column:

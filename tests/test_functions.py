@@ -225,3 +225,17 @@ def test_null_results_of_divisions(spark):
         relative_change(F.col("a"), F.col("b")).alias("c"),
     ).collect()
     assert [tuple(row) for row in shares] == [(None, None), (None, None), (0.25, -25.0)]
+
+
+def test_operator_filter_names_its_column_once(spark):
+    names = ["Flix", "zingbus Maxx", "Zingbus\nplus", "LAXMI HOLIDAYS\npvt", "laxmi holidays", "x", "", None]
+    frame = spark.createDataFrame([(name,) for name in names], "name string")
+    # A filter holds a copy of the expression behind the column for each time it is named.
+    for labels in (rules.OPERATORS, ("zingbus",), ("laxmi", "nuego")):
+        chosen = rules.operated_by(F.col("name"), labels)
+        conditions = rules.operator_conditions(F.col("name"))
+        separate = [F.coalesce(conditions[label], F.lit(False)) for label in labels]
+        for row in frame.select("name", chosen.alias("one"), F.array(*separate).alias("each")).collect():
+            assert row["one"] == (None if row["name"] is None else any(row["each"])), row
+    text = frame.filter(chosen)._jdf.queryExecution().analyzed().toString()
+    assert text.split("\n")[0].count("name#") == 1

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lastseen.functions.times import business_date
+from lastseen.session import LARGEST_METHOD
 from lastseen.sources.archive import (
     read_inventory,
     read_verdicts,
@@ -89,6 +90,9 @@ LINEITEM = (
 
 def raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Filters are evaluated on the mapping's expressions, in methods of 11,000 bytes and more.
+    for key, value in LARGEST_METHOD.items():
+        spark.conf.set(key, value)
     sf_dir = getattr(sf_dir, "feed", sf_dir)
     # With its schema given, reading the table starts no job.
     lineitem = spark.read.schema(LINEITEM).parquet(f"{sf_dir}/lineitem.parquet")

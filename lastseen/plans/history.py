@@ -6,7 +6,7 @@ out of later scrapes when they sell out, so a single scrape under-counts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame
@@ -139,6 +139,21 @@ def services_between(days: DataFrame, first: date, last: date, *groups: str) ->
     return distinct_counts(inside, *(groups or ("operator",)), name="services")
 
 
+def services_in_windows(
+    days: DataFrame, windows: Mapping[str, tuple[date, date]], *groups: str
+) -> DataFrame:
+    """:func:`services_between` for several windows by name, in one pass over the days.
+
+    A day's bitmaps go to each window it lies in.
+    """
+    holding = F.array_compact(
+        F.array(*(F.when(departs_between(span), F.lit(name)) for name, span in windows.items()))
+    )
+    inside = days.withColumn("window", F.explode(holding))
+    by = groups or ("operator",)
+    return distinct_counts(inside, *by, "window", name="services").select(*by, "services", "window")
+
+
 def daily_counts(services: DataFrame) -> DataFrame:
     """Distinct services per day and operator."""
     if holds_bitmaps(services):

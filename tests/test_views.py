@@ -13,9 +13,10 @@ from lastseen.plans import history as past
 from lastseen.plans import quality
 from lastseen.session import shared
 from tests.conftest import SF_DIRS
-from tests.rows import AS_OF, TODAY, archive, at, sighting, tuples, verdict_archive
+from tests.rows import AS_OF, TODAY, archive, at, setting, sighting, tuples, verdict_archive
 from tests.test_archive import plan
 from verification import fixtures
+from verification.queries import QUERIES
 
 EVERYTHING = FilterSpec()
 
@@ -587,3 +588,29 @@ def test_utilisation_takes_verdicts(spark):
     plain = past.history(rows, FilterSpec(), AS_OF, "util")["points"]
     joined = past.history(rows, FilterSpec(), AS_OF, "util", slots)["points"]
     assert tuples(joined) == tuples(plain)
+
+
+def test_services_of_several_windows_come_from_one_pass(spark):
+    found = QUERIES["services_of_windows"](spark, SF_DIRS["small"])
+    # The sightings and the numbers of services, each read once whatever the windows.
+    assert plan(found).split("(1) Scan")[0].count("Scan parquet") == 2
+    rows = [
+        (date(2026, 5, 1), "r", "flix", 1), (date(2026, 5, 2), "r", "flix", 1),
+        (date(2026, 5, 2), "q", "nuego", 2), (date(2026, 5, 3), "r", "flix", 3), (None, "r", "flix", 4),
+    ]
+    services = spark.createDataFrame(
+        rows, "departure_date date, relation_name string, operator string, service_no long"
+    )
+    days = past.service_days(services)
+    first, second, third = (row[0] for row in rows[:1] + rows[2:4])
+    windows = {"a": (first, second), "b": (second, third), "none": (third, first)}
+    assert tuples(past.services_in_windows(days, windows)) == sorted(
+        (*row, name) for name, span in windows.items() for row in tuples(past.services_between(days, *span))
+    )
+
+
+def test_the_archive_query_does_not_run_methods_too_large_to_compile(spark):
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+    with setting(spark, "spark.sql.codegen.hugeMethodLimit", "65535"):
+        fixtures.inventory(spark, SF_DIRS["small"])
+        assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"

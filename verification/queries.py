@@ -588,11 +588,7 @@ def services_of_windows(spark, sf_dir):
         "month": past.past_days(AS_OF, 30),
         "range": (date(2026, 5, 4), date(2026, 5, 24)),
     }
-    parts = [
-        past.services_between(days, *window).withColumn("window", F.lit(name))
-        for name, window in windows.items()
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return past.services_in_windows(days, windows)
 
 
 # ---- whole views ----------------------------------------------------------

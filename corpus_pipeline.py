@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lastseen.llm.byte_pair import encoded
-from lastseen.llm.common import shipped, stored
+from lastseen.llm.common import handing_few_rows, shipped, stored
 from lastseen.llm.line_dedup import without_boilerplate
 from lastseen.llm.mixing import mixed_documents
 from lastseen.llm.near_dup import without_near_copies
@@ -64,6 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with handing_few_rows(spark):
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -2,12 +2,13 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lastseen.llm import line_dedup, mixing, near_dup, quality_model, topk
-from lastseen.llm.common import ship, stored
+from lastseen.llm.common import HANDED_ROWS, ship, stored
 from lastseen.llm.registry import ORACLES, QUERIES
 from tests.llm.corpus import WORD, awkward, documents, empty, pairs_of, prose
 
@@ -308,3 +309,19 @@ def test_pipeline_on_awkward_and_empty(spark):
         for name, stage in corpus_pipeline.STAGES:
             docs = stored(stage(spark, docs, SMALL), f"test-{name}")
         docs.agg(F.sum("n_tokens")).collect()
+
+
+def test_pipeline_hands_workers_few_rows_at_once(spark, tmp_path, monkeypatch):
+    def work(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["rows"])
+
+    def counted(spark, docs, sf_dir):
+        return docs.coalesce(1).mapInArrow(work, "rows long")
+
+    spark.range(2 * HANDED_ROWS + 1).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("counted", counted)])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = [row["rows"] for row in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(found) == [1, HANDED_ROWS, HANDED_ROWS]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
